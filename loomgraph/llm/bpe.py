@@ -23,7 +23,7 @@ from .textscan import ragged, span_hash
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 KNOWN = 0x3000
-CACHE = 500_000
+CACHE = 600_000
 LETTER, NUMBER, OTHER, SPACE = range(4)
 
 
@@ -127,31 +127,46 @@ class Encoder:
         self._known: dict[str, int] = {}
         self._ids = np.empty(1 << 16, np.uint32)
         self._ends = np.zeros(1 << 14, np.int64)
+        self._uses = np.zeros(1 << 14, np.uint16)
+
+    def _append(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        k, n = len(self._known), len(words)
+        while k + n + 1 > len(self._ends):
+            self._ends, self._uses = np.resize(self._ends, 2 * len(self._ends)), np.resize(self._uses, 2 * len(self._uses))
+        end = self._ends[k]
+        while end + len(ids) > len(self._ids):
+            self._ids = np.resize(self._ids, 2 * len(self._ids))
+        self._ids[end : end + len(ids)] = ids
+        self._ends[k + 1 : k + n + 1] = end + np.cumsum(lengths)
+        self._uses[k : k + n] = 0
+        self._known.update(zip(words, range(k, k + n), strict=True))
+
+    def _thin(self) -> None:
+        """Keeps the pre-tokens that most batches used, half of the table at most."""
+        uses = self._uses[: len(self._known)]
+        least = max(2, int(np.sort(uses)[-(CACHE // 2) :][0]) + 1) if len(uses) > CACHE // 2 else 2
+        kept = np.flatnonzero(uses >= least)
+        words, begin, lengths = list(self._known), self._ends[kept], self._ends[kept + 1] - self._ends[kept]
+        ids = self._ids[ragged(begin, lengths)]
+        self._forget()
+        self._append([words[i] for i in kept.tolist()], ids, lengths)
 
     def _learn(self, words: list[str]) -> None:
         """Encodes new pre-tokens, a line each where white space is not part of the question."""
-        lines = [w for w in words if not w.isspace()]
-        got: dict[str, np.ndarray] = {}
-        if len(self._newline) == 1:
-            for i in range(0, len(lines), 4096):
-                part = lines[i : i + 4096]
-                ids = np.array(self._one("\n".join(part)), np.uint32)
-                cut = np.flatnonzero(ids == self._newline[0])
-                if len(cut) == len(part) - 1:
-                    got.update(zip(part, np.split(ids, cut), strict=True))
-                    for w in part[1:]:
-                        got[w] = got[w][1:]
-        for w in words:
-            ids = got[w] if w in got else np.array(self._one(w), np.uint32)
-            k = len(self._known)
-            if k + 2 > len(self._ends):
-                self._ends = np.resize(self._ends, 2 * len(self._ends))
-            end = self._ends[k] + len(ids)
-            while end > len(self._ids):
-                self._ids = np.resize(self._ids, 2 * len(self._ids))
-            self._ids[self._ends[k] : end] = ids
-            self._ends[k + 1] = end
-            self._known[w] = k
+        spaces = [w for w in words if w.isspace()]
+        lines = [w for w in words if not w.isspace()] if spaces else words
+        for i in range(0, len(lines), 4096):
+            part = lines[i : i + 4096]
+            ids = np.array(self._one("\n".join(part)), np.uint32) if len(self._newline) == 1 else np.empty(0, np.uint32)
+            cut = np.flatnonzero(ids == self._newline[0])
+            if len(cut) == len(part) - 1:
+                lengths = np.diff(cut, prepend=-1, append=len(ids)) - 1
+                self._append(part, np.delete(ids, cut), lengths)
+            else:
+                spaces = spaces + part
+        for w in spaces:
+            ids = np.array(self._one(w), np.uint32)
+            self._append([w], ids, np.array([len(ids)]))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the offset of each (one more entry than texts)."""
@@ -178,12 +193,14 @@ class Encoder:
         a, b = starts[first].tolist(), starts[first + 1].tolist()
         words = [joined[i:j] for i, j in zip(a, b, strict=True)]
         if len(self._known) + len(words) > CACHE:
-            self._forget()
+            self._thin()
         index = list(map(self._known.get, words))
         if None in index:
             self._learn([w for w, k in zip(words, index, strict=True) if k is None])
             index = list(map(self._known.get, words))
-        index = np.array(index, np.int64)[which]
+        index = np.array(index, np.int64)
+        self._uses[index] += 1
+        index = index[which]
         begin = self._ends[index]
         lengths = self._ends[index + 1] - begin
         ends = np.zeros(len(lengths) + 1, np.int64)
