@@ -1,15 +1,71 @@
-"""The corpus pipeline: documents through four or five operators, each stage written and read again."""
+"""The corpus pipeline: documents through five operators, each stage written and read again.
+
+1. quality rules: failing lines go from the texts, rejected documents go altogether;
+2. n-gram Jaccard join: of each group of near-duplicates the document with the least id stays;
+3. benchmark decontamination: documents with a benchmark window go;
+4. secret scans: secrets are replaced by a mark;
+5. packing: what is left becomes token sequences.
+
+All but the last return the columns of ``documents``; ``n_chars`` follows the text.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.llm import decontamination, ngram_join, packing, quality_rules, secrets
+from loomgraph.llm.queries import tokenizer_path
+from loomgraph.llm.workspace import shared_root
+
+
+def _with_length(docs: DataFrame) -> DataFrame:
+    """n_chars as the text now has it, where there is such a column."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _with_length(quality_rules.clean(docs))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows are judged in place, so repeated ids need no join back."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _with_length(secrets.redact(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path(), window=2048, end_id=1)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("ngram_join", deduplicate),
+    ("decontamination", decontaminate),
+    ("secret_scan", redact),
+    ("packing", pack),
+]
 
-STAGES = []
+#: Chosen paths, tokenizers and automata are not SQL; the tests compare each stage with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to ``documents``; each one's rows are written below the shared folder and read again."""
+    folder = f"{shared_root(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_counts, token_files
+from . import chat_format, decontamination, license_scan, ngram_join, packing, quality_classifier, quality_rules, secrets, token_counts, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,10 +22,42 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(read(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path(), window=2048, end_id=1)
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    probe = spark.range(1).select(F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1), F.lit("assistant")))).alias("t"))
+    probe = probe.select(F.lit(-1).cast("long").alias("conv_id"), F.col("t.turn").cast("long"), F.col("t.role"), F.lit(said).alias("text"))
+    return chat_format.read_back(chat_format.format_chats(chats.unionByName(probe)))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(read(spark, sf_dir, "documents"))
+
+
+def as_files(documents: DataFrame) -> DataFrame:
+    """Documents as files of a tree: source/lang/thousand/name; those of fewer than 20 words with a licence line are the licence files of their directory."""
+    short = F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+")) < 20
+    notice = F.coalesce(F.col("text").rlike("(?i)licen[cs]e"), F.lit(False))
+    name = F.concat(F.when(short & notice, F.lit("LICENSE.")).otherwise(F.lit("doc.")), F.col("doc_id").cast("string"))
+    return documents.select("doc_id", "text", F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000).cast("string"), name).alias("path"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(as_files(read(spark, sf_dir, "documents")), keys=("doc_id",))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(read(spark, sf_dir, "documents"), tokenizer_path(), end_id=2, length=2048)
 
@@ -33,13 +66,31 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer_path(), limit=512)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), size=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read(spark, sf_dir, "documents")).drop("kept_share")
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op2_packing": op2_packing,
+        "op3_chat_format": op3_chat_format,
+        "op4_quality_classifier": op4_quality_classifier,
+        "op5_secret_scan": op5_secret_scan,
+        "op6_license_scan": op6_license_scan,
         "op7_token_files": op7_token_files,
         "op8_token_counts": op8_token_counts,
+        "op9_decontamination": op9_decontamination,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracle import ORACLE_SQL
+
+    return dict(ORACLE_SQL)
