@@ -104,7 +104,7 @@ def _frequencies(files: DataFrame, text_col: str) -> tuple[int, list[int]]:
                     count[index[w]] += 1
         yield pa.RecordBatch.from_pydict({"word": [-1, *range(len(count))], "n": [n, *count]})
 
-    rows = files.select(F.col(text_col).alias("text")).mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = files.select(F.col(text_col).alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     total = {r["word"]: r["n"] for r in rows}
     return total.get(-1, 0), [total.get(i, 0) for i in range(len(VOCABULARY))]
 

@@ -291,12 +291,12 @@ def _bits(ids: DataFrame) -> tuple[bytes, int]:
         for batch in batches:
             at = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - width)
             np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        yield pa.RecordBatch.from_pydict({"part": np.flatnonzero(bits), "value": bits[bits != 0]})
+        yield pa.RecordBatch.from_pydict({"part": np.flatnonzero(bits), "value": bits[bits != 0].astype(np.int64)})
 
     bits = np.zeros(1 << (width - 3), np.uint8)
-    found = ids.select(F.xxhash64("rep").alias("h")).mapInArrow(run, "part long, value byte")
+    found = ids.select(F.xxhash64("rep").alias("h")).mapInArrow(run, "part long, value long")
     # Bytes of the bitmap, not ids, come to the driver: at most 32 MB of them after merging.
-    for row in found.withColumn("value", F.col("value").cast("int").bitwiseAND(255)).groupBy("part").agg(F.bit_or("value").alias("value")).toPandas().itertuples():
+    for row in found.groupBy("part").agg(F.bit_or("value").alias("value")).toPandas().itertuples():
         bits[row.part] |= row.value
     return bits.tobytes(), width
 

@@ -123,7 +123,8 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         rows.sort(key=lambda r: r[:2])
         yield pa.RecordBatch.from_pydict({"weights": [fit([(b, y) for _, _, y, b in rows]).tobytes()]})
 
-    return np.frombuffer(texts.repartition(1).mapInArrow(run, "weights binary").first()["weights"], np.float32)
+    fitted = texts.repartition(1).mapInArrow(run, "weights binary").first()
+    return np.frombuffer(fitted["weights"], np.float32) if fitted else fit([])
 
 
 def score(documents: DataFrame, weights: np.ndarray, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
