@@ -52,8 +52,8 @@ WITH d AS (SELECT doc_id, {_normal_words("text")} AS w FROM documents),
 i AS (SELECT item_id, {_normal_words("text")} AS w FROM benchmark),
 win AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, unnest(list_transform(range(1, greatest(1, len(w) - 9) + 1), lambda k: array_to_string(w[k:k+9], ' '))) AS s FROM i WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT n FROM win),
-at AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes WHERE len(w) >= n),
-hit AS (SELECT at.doc_id, at.p, at.n, win.item_id FROM at JOIN win ON win.n = at.n AND win.s = array_to_string(at.w[at.p:at.p+at.n-1], ' ')),
+placed AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes WHERE len(w) >= n),
+hit AS (SELECT a.doc_id, a.p, a.n, win.item_id FROM placed a JOIN win ON win.n = a.n AND win.s = array_to_string(a.w[a.p:a.p+a.n-1], ' ')),
 words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS k FROM hit) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

@@ -3,7 +3,7 @@
 Rules are regular expressions over bytes.  They are parsed into one
 nondeterministic automaton, made deterministic by subset construction and
 minimised; the result is an array of transitions per state.  A text is read once,
-byte by byte; whenever a state accepts, the rule's own two small automata (one
+byte by byte; whenever a state accepts, which is at a match's first possible end, the rule's own two small automata (one
 forwards, one backwards, made the same way) give the match's start and its
 longest end.  That is the leftmost match, as no rule here has two ways to read a
 text from one start.
@@ -159,6 +159,13 @@ def _backwards(tree):
     return ("rep", _backwards(tree[1]), *tree[2:]) if tree[0] == "rep" else tree
 
 
+def _shortest(tree):
+    """The tree whose matches are the first possible ends of the tree's: a repeat at its end stops at its least count."""
+    if tree[0] == "row" and tree[1]:
+        return ("row", [*tree[1][:-1], _shortest(tree[1][-1])])
+    return ("rep", *tree[1:3], tree[2]) if tree[0] == "rep" and tree[2] else tree
+
+
 class _Nfa:
     def __init__(self):
         self.empty: list[list[int]] = []
@@ -229,21 +236,25 @@ def compile_dfa(trees: list, anywhere: bool) -> Dfa:
     column = np.array([column_of[s] for s in signature])
     sample = [int(np.flatnonzero(column == c)[0]) for c in range(len(column_of))]
 
-    def closure(states) -> frozenset:
-        seen, todo = set(states), list(states)
+    def reach(state: int) -> frozenset:
+        seen, todo = {state}, [state]
         while todo:
             for t in nfa.empty[todo.pop()]:
                 if t not in seen:
                     seen.add(t)
                     todo.append(t)
-        return frozenset(seen)
+        # Only states that read a byte or accept tell subsets apart.
+        return frozenset(s for s in seen if nfa.moves[s] or s in final)
 
-    subsets = {closure([root]): 0}
+    closures = [reach(s) for s in range(len(nfa.empty))]
+    step = [[frozenset().union(*(closures[t] for chars, t in moves if b in chars)) for b in sample] if moves else None for moves in nfa.moves]
+    subsets = {closures[root]: 0}
     table, order = [], list(subsets)
     for subset in order:  # grows
         row = []
-        for b in sample:
-            to = closure({t for s in subset for chars, t in nfa.moves[s] if b in chars})
+        own = [step[s] for s in subset if step[s]]
+        for c in range(len(sample)):
+            to = frozenset().union(*(s[c] for s in own))
             if to not in subsets:
                 subsets[to] = len(order)
                 order.append(to)
@@ -280,7 +291,7 @@ class Automaton:
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = rules
         trees = [_Parser(r.pattern, r.ignore_case).parse() for r in rules]
-        self.all = compile_dfa(trees, anywhere=True)
+        self.all = compile_dfa([_shortest(t) for t in trees], anywhere=True)
         self.forward = [self._lists(compile_dfa([t], anywhere=False)) for t in trees]
         self.backward = [self._lists(compile_dfa([_backwards(t)], anywhere=False)) for t in trees]
         self.accepts = self.all.accepts.tolist()
