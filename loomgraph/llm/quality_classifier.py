@@ -1,9 +1,9 @@
 """Hashed word n-gram logistic regression, trained by follow the regularised leader.
 
 A text is cut into tokens: runs of letters and digits, runs of other marks.  Its
-features are the token and token-pair hashes in ``2 ** BITS`` buckets, a pair of
-equal neighbours having one bucket of its own whatever the token, each with its
-share of all features as value.  Training goes over at most ``TRAIN_ROWS``
+features are the token and token-pair hashes in ``2 ** BITS`` buckets, a pair whose
+first token is a word that comes again at once or after one other token having one
+bucket of its own whatever the word, each with its share of all features as value.  Training goes over at most ``TRAIN_ROWS``
 labelled rows (per label the half with the lowest hashes of their id) in one
 task and follows the proximal update with per-coordinate rates; a model is an
 array of ``2 ** BITS`` floats (1 MB).  A score is the sparse dot product of a
@@ -60,9 +60,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     first = np.searchsorted(starts, offsets)
     single = (h >> np.uint64(64 - BITS)).astype(np.uint32)
     pair = (mix64(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) >> np.uint64(64 - BITS)).astype(np.uint32)
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    inner = owner[:-1] == owner[1:]  # pairs within one text
     pair[h[:-1] == h[1:]] = _SAME
-    inner = np.ones(max(len(h) - 1, 0), bool)  # pairs within one text
-    inner[first[(first > 0) & (first < len(h))] - 1] = False
+    over = (h[:-2] == h[2:]) & (owner[:-2] == owner[2:]) & (kind[starts[:-2]] == 2)  # a word again after a mark
+    pair[:-1][over] = _SAME
     out = np.empty((len(h), 2), np.uint32)
     out[:, 0] = single
     out[:-1, 1] = pair
