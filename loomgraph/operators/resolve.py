@@ -236,7 +236,6 @@ def _resolve(calls: DataFrame, symbols: DataFrame, bindings: DataFrame, heritage
     target = symbols.where(F.col("kind").isin(*CALLABLE, *NOMINAL)).select(F.col("name").alias("callee_name"), "language", F.col("id").alias("target_id"), F.col("qualified_name").alias("target_qualified"), F.col("file").alias("target_file"))
     # Signatures are few next to calls, and every tier starts from them: they are made once.
     asked = cut(asked.join(_nominal(asked, symbols, bindings), "sig", "left").withColumn("receiver_state", F.coalesce("receiver_state", F.lit("none"))))
-    target = target.cache()  # recomputed where an executor is lost
     pick = ["sig", "target_id", "target_qualified", "rank"]
     own = F.concat_ws(".", "receiver_type", "callee_name")
     scoped = (F.col("receiver_type") == "") | (F.col("target_qualified") == own) | F.col("target_qualified").endswith(F.concat(F.lit("."), own))

@@ -31,7 +31,7 @@ SCHEMAS = {
     "routes": "file:string,router:string,verb:string,path:string,handler_id:string,start_byte:bigint,end_byte:bigint,line:bigint,end_line:bigint",
     "formals": "owner_id:string,formal_name:string,parameter_index:bigint",
 }
-FACTS = ",".join(f"{name}:array<struct<{own}>>" for name, own in SCHEMAS.items())
+FACTS = "struct<" + ",".join(f"`{name}`:array<struct<{own}>>" for name, own in SCHEMAS.items()) + ">"
 #: Fixed values.
 VERBS = ("get", "post", "put", "patch", "delete", "options", "head", "trace", "websocket")
 EXPRESS = ("get", "post", "put", "patch", "delete", "options", "head", "all", "use")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -164,10 +167,39 @@ def lossy_utf8(content: pd.Series) -> pd.Series:
     return content.map(decode)
 
 
+def _hidden(spark: SparkSession, root: str) -> list[tuple[str, int]]:
+    """(uri, length) of the files below a root that Spark's readers pass over: a part of their path starts with a dot or an underscore.  Built-in folders are not looked into."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out, todo = [], [(path, False)]
+    while todo:
+        folder, hidden = todo.pop()
+        for status in system.listStatus(folder):
+            name, own = status.getPath().getName(), hidden or status.getPath().getName()[:1] in "._"
+            if status.isDirectory():
+                if name not in IGNORED:
+                    todo.append((status.getPath(), own))
+            elif own:
+                out.append((status.getPath().toString(), status.getLen()))
+    return out
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            uri = row["path"]
+            system, path = fs.FileSystem.from_uri(f"file://{uri[5:]}" if re.match("file:/(?!/)", uri) else uri)
+            with system.open_input_file(path) as f:
+                yield pa.RecordBatch.from_pydict({"path": [uri], "length": [row["length"]], "content": [f.read()]})
+
+
 def tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, length, content) of all regular files below a root, hidden ones too; paths are relative."""
     root = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "content")
+    hidden = [h for h in _hidden(spark, root) if h[1] <= MAX_FILE_BYTES]
+    if hidden:
+        files = files.union(spark.createDataFrame(hidden, "path string, length long").mapInArrow(_read, "path string, length long, content binary"))
     plain = re.sub(r"^[a-z0-9]+:/*", "/", root)
     tail = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:/*", "/")
     return files.select(F.substr(tail, F.lit(len(plain) + 2)).alias("path"), "length", "content")
