@@ -40,16 +40,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textscan import mix64, ragged, slices, span_hash, table_of, utf8
+from .textscan import mix64, ragged, slices, span_hash, utf8
 from .workspace import cut
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
-BINS, DEPTH, SMALL, BLOCK, MARGIN = 128, 3, 200, 512, 4.5
+BINS, DEPTH, SMALL, BLOCK, MARGIN, SALTS = 128, 3, 200, 512, 4.5, 32
 #: Splits keep a little more than similarity 0.8 asks for, since the minima's similarity strays around the sets'.
 SPLIT_AT = 0.7
 _EMPTY = np.uint32(0xFFFFFFFF)
 _NORMAL = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
-_BLANK = table_of(b" ")
 
 
 def runs_for(similarity: float = SIMILARITY, recall: float = RECALL, depth: int = DEPTH) -> int:
@@ -155,7 +154,7 @@ def _level_one(classes: DataFrame, runs: int) -> DataFrame:
 
 
 def _next_level(big: DataFrame, classes: DataFrame) -> DataFrame:
-    """Sub-buckets of the buckets in ``big`` (path, cid); each class's minima are sent once."""
+    """Sub-buckets of the buckets in ``big`` (path, cid, size); each class's minima are sent once."""
     paths = big.groupBy("cid").agg(F.collect_list("path").alias("paths"))  # bounded by the runs and splits
     rows = paths.join(classes.select("cid", "minima"), "cid")
 
@@ -181,13 +180,21 @@ def leaves_of(classes: DataFrame, runs: int) -> DataFrame:
         sizes = level.groupBy("path").agg(F.count("*").alias("size"), F.sum(F.xxhash64("cid") % 1_000_003_579).alias("s"), F.bit_xor(F.xxhash64("cid")).alias("x")).where("size > 1")
         small = sizes if depth == DEPTH else sizes.where(F.col("size") <= SMALL)
         small = small.groupBy("size", "s", "x").agg(F.min("path").alias("path"))
-        leaf = level.join(small.select("path", "size"), "path")
+        leaf = _members(level, small.select("path", "size"))
         out = leaf if out is None else out.union(leaf)
         if depth < DEPTH:
-            level = _next_level(level.join(sizes.where(F.col("size") > SMALL).select("path"), "path"), classes)
+            level = _next_level(_members(level, sizes.where(F.col("size") > SMALL).select("path", "size")), classes)
     return cut(out)
 
 
+def _members(level: DataFrame, paths: DataFrame) -> DataFrame:
+    """The rows of the given buckets (path, size).  Rows of a large bucket are dealt out by a salt, for which its path is repeated; small buckets need none."""
+    salt = F.pmod(F.xxhash64(F.col("cid")), F.lit(SALTS))
+    few = level.join(paths.where(F.col("size") <= SMALL), "path")
+    many = paths.where(F.col("size") > SMALL).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return few.unionByName(level.withColumn("salt", salt).join(many, ["path", "salt"]).drop("salt"))
+
+
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.RecordBatch]:
     """Consecutive rows with equal values in the first ``n_keys`` (long) columns, as one batch each."""
     held: list[pa.RecordBatch] = []
