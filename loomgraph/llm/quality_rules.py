@@ -132,5 +132,7 @@ def _with_repeats(df: DataFrame, h: str) -> DataFrame:
 def clean(documents: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents kept, all their columns, with the failing lines taken out of the text."""
     rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("__row"), F.col(text_col).alias("__given"))
-    kept = _judged(rows, "__given").where("kept")
+    # The numbering keeps the optimiser from pushing the verdict below the steps that make it, which would write all of them out again and again.
+    numbered = _judged(rows, "__given").withColumn("__number", F.monotonically_increasing_id())
+    kept = numbered.where(F.col("kept") & (F.col("__number") >= 0))
     return kept.select(*(F.col("__kept").alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in documents.columns))
