@@ -145,6 +145,8 @@ def inherited_members(asked: DataFrame, heritage: DataFrame, methods: DataFrame)
     Several members on the nearest level, or a type met twice, make the answer ambiguous.
     """
     frontier = cut(asked.select("type_id", "name").distinct().withColumn("at", F.col("type_id")).withColumn("seen", F.array("type_id")))
+    if frontier.isEmpty():
+        return frontier.select("type_id", "name", F.lit(None).cast("string").alias("member_id"), F.lit("unique").alias("state"))
     bases = heritage.where("kind = 'extends'").select(F.col("source_id").alias("at"), F.col("target_id").alias("base")).distinct()
     done = None
     for _ in range(INHERITANCE_DEPTH):
