@@ -32,7 +32,9 @@ def _accents() -> tuple[str, str]:
 def fold(text: Column) -> Column:
     """Lower case without diacritics."""
     marked, plain = _accents()
-    return F.regexp_replace(F.translate(F.lower(text), marked, plain), r"\p{Mn}+", "")
+    low = F.lower(text)
+    full = F.regexp_replace(F.translate(low, marked, plain), r"\p{Mn}+", "")
+    return F.when(F.octet_length(text) == F.length(text), low).otherwise(full)  # ASCII has none
 
 
 def fold_text(text: str) -> str:

@@ -12,14 +12,20 @@ from pyspark.sql import functions as F
 
 from ..functions import budget
 from ..functions import text as T
+from ..plans.lineage import cut
 
 K1, B = 1.2, 0.75
 
 
-def _scored(rows: DataFrame, terms: list[str], every: bool = False) -> DataFrame:
-    """Adds bm25 to rows with a ``tokens`` array; keeps those that match any term, or every one."""
+def _scored(rows: DataFrame, terms: list[str], keys: list[str], every: bool = False) -> DataFrame:
+    """(keys, bm25) of the rows with a ``tokens`` array that match any term, or every one.
+
+    Texts are tokenised once: what is kept of a row are its keys, counts and size, a small table that is
+    written and read for the statistics and the scores.
+    """
     hit = [f"__tf{k}" for k in range(len(terms))]
-    rows = rows.select("*", *(T.prefix_hits(F.col("tokens"), t).alias(h) for t, h in zip(terms, hit, strict=True)), F.size("tokens").cast("double").alias("__size"))
+    rows = rows.select(*keys, *(T.prefix_hits(F.col("tokens"), t).alias(h) for t, h in zip(terms, hit, strict=True)), F.size("tokens").cast("double").alias("__size"))
+    rows = cut(rows)
     stats = rows.agg(F.count("*").cast("double").alias("__n"), F.avg("__size").alias("__avg"), *(F.sum((F.col(h) > 0).cast("double")).alias(f"{h}n") for h in hit))
     condition = None
     for h in hit:
@@ -32,7 +38,7 @@ def _scored(rows: DataFrame, terms: list[str], every: bool = False) -> DataFrame
         idf = F.log((F.col("__n") - n + 0.5) / (n + 0.5))
         idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
         score = score + idf * F.col(h) * (K1 + 1) / (F.col(h) + K1 * (1 - B + B * F.col("__size") / F.col("__avg")))
-    return matched.withColumn("bm25", score).drop("__size", "__n", "__avg", *hit, *(f"{h}n" for h in hit), "tokens")
+    return matched.select(*keys, score.alias("bm25"))
 
 
 def content_search(chunks: DataFrame, query: str, limit: int = 10) -> DataFrame:
@@ -43,7 +49,8 @@ def content_search(chunks: DataFrame, query: str, limit: int = 10) -> DataFrame:
     rows = chunks.withColumn("tokens", F.concat(T.search_tokens(F.col("title")), T.search_tokens(F.col("text"))))
     if not terms:
         return rows.limit(0).select("path", "title", "text", "start_line", "end_line", F.lit(0.0).alias("score"))
-    best = _scored(rows, terms).orderBy(F.desc("bm25"), "path", "ordinal").limit(4 * limit)
+    best = _scored(rows, terms, ["path", "ordinal"]).orderBy(F.desc("bm25"), "path", "ordinal").limit(4 * limit)
+    best = chunks.join(F.broadcast(best), ["path", "ordinal"])  # at most 4 * limit rows
     boost = F.lit(0.0)
     for t in terms:
         boost = boost + F.array_contains(T.content_terms(F.col("path")), t).cast("double") * 4 + F.array_contains(T.content_terms(F.col("title")), t).cast("double") * 2
@@ -70,10 +77,11 @@ def symbol_search(symbols: DataFrame, query: str, limit: int = 20, kind: str | N
     # The index has the name, the qualified name, the file and the segments of both names.
     segments = F.array_join(T.identifier_segments(F.concat_ws(" ", "name", "qualified_name")), " ")
     tokens = F.concat(*(T.search_tokens(c) for c in (F.col("name"), F.col("qualified_name"), F.col("file"), segments)))
-    rows = _scored(symbols.withColumn("tokens", tokens), terms)
+    rows = _scored(symbols.withColumn("tokens", tokens), terms, ["id", "kind"])
     if kind:
         rows = rows.where(F.col("kind") == kind)  # after the statistics, which are over all symbols
-    best = rows.orderBy(F.desc("bm25"), "id").limit(4 * limit)
+    best = rows.orderBy(F.desc("bm25"), "id").limit(4 * limit).select("id", "bm25")
+    best = symbols.join(F.broadcast(best), "id")  # at most 4 * limit rows
     whole = F.lit(query.strip().lower())
     name, qualified = F.lower("name"), F.lower("qualified_name")
     starts = F.lit(False)
@@ -93,8 +101,10 @@ def memory_search(memories: DataFrame, workspace_id: str, query: str, limit: int
     if not terms:
         return memories.limit(0).withColumn("score", F.lit(0.0))
     rows = memories.withColumn("tokens", T.search_tokens(F.concat_ws(" ", "body", F.array_join("tags", " "))))
-    found = _scored(rows, terms, every=True).where(F.col("workspace_id") == workspace_id)
-    return found.select(*columns, F.col("bm25").alias("score")).orderBy(F.desc("score"), F.desc("updated_at_ms"), "id").limit(limit)
+    found = _scored(rows, terms, ["id", "workspace_id", "updated_at_ms"], every=True).where(F.col("workspace_id") == workspace_id)
+    best = found.orderBy(F.desc("bm25"), F.desc("updated_at_ms"), "id").limit(limit).select("id", F.col("bm25").alias("score"))
+    best = memories.join(F.broadcast(best), "id")  # at most limit rows
+    return best.select(*columns, "score").orderBy(F.desc("score"), F.desc("updated_at_ms"), "id")
 
 
 def postings(chunks: DataFrame) -> DataFrame:

@@ -104,7 +104,7 @@ def test_content_search_matches_sqlite(spark):
     base.executemany("insert into f values (?,?,?)", [(r[0], r[2], r[3]) for r in rows])
     want = dict(base.execute("select path, -bm25(f) from f where f match ?", ('"token"* OR "cafe"* OR "zzz"*',)).fetchall())
     tokens = F.concat(T.search_tokens(F.col("title")), T.search_tokens(F.col("text")))
-    got = {r.path: r.bm25 for r in search._scored(df.withColumn("tokens", tokens), ["token", "cafe", "zzz"]).collect()}
+    got = {r.path: r.bm25 for r in search._scored(df.withColumn("tokens", tokens), ["token", "cafe", "zzz"], ["path"]).collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want)
     hits = search.content_search(df, "token café", 5).collect()
     assert len(hits) == 5 and [h.score for h in hits] == sorted((h.score for h in hits), reverse=True)
