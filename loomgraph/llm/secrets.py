@@ -6,7 +6,8 @@ minimised; the result is an array of transitions per state.  A text is read once
 byte by byte; whenever a state accepts, which is at a match's first possible end, the rule's own two small automata (one
 forwards, one backwards, made the same way) give the match's start and its
 longest end.  That is the leftmost match, as no rule here has two ways to read a
-text from one start.
+text from one start.  A rule's ``tail`` carries a match on: that of a private key's
+first line runs to its last line, or over the body where that line is missing.
 
 Defined results: a null or empty text has no spans; spans of one rule don't
 overlap, those of different rules may; offsets are code points, end exclusive;
@@ -36,6 +37,8 @@ class Rule:
     #: Whether a match counts; one that doesn't still takes its text.
     check: Callable[[bytes], bool] = lambda m: True
     ignore_case: bool = False
+    #: Where a match ends that the pattern lets end at the given place.
+    tail: Callable[[bytes, int], int] = lambda data, end: end
 
 
 _VALUE = re.compile(rb"[A-Za-z0-9+/_.=-]+\Z")
@@ -47,6 +50,25 @@ def _assigned(match: bytes) -> bool:
     return len(_VALUE.search(match[sign:].lstrip(b" "))[0]) >= 6
 
 
+_ARMOUR = re.compile(rb"-----(?:BEGIN|END) ")
+_LAST = re.compile(rb"-----END (?:[A-Z]+ )*PRIVATE KEY-----")
+#: A line such as ``Proc-Type: 4,ENCRYPTED``; line ends can be escaped, as in JSON.
+_FIELD = re.compile(rb"""(?:[\s"'>#*]|\\[nrt])[A-Za-z][A-Za-z0-9-]*: [^\r\n\\]*""")
+#: base64 and what quoting, comments, string literals and escapes put around its lines
+_BODY = re.compile(rb"""[A-Za-z0-9+/=\s"'`\\,;|>#*%&<-]*""")
+_GAP = rb"""(?:[\s"'`,>#*]|\\[nrt])"""
+_OPEN = re.compile(rb"(?:" + _GAP + rb"++[A-Za-z][A-Za-z0-9-]*+: [^\r\n\\]*+)*+(?:" + _GAP + rb"*+[A-Za-z0-9+/]{20,}+={0,2}+)++(?:" + _GAP + rb"++[A-Za-z0-9+/]++={0,2}+(?=[ \t]*+(?:\Z|[\r\n\\\"'`])))?+")
+
+
+def _key_end(data: bytes, end: int) -> int:
+    """The end of the private key whose first line ends at ``end``: that of its last line, or of the lines of base64 where that is missing."""
+    stop = _ARMOUR.search(data, end)
+    if stop and (last := _LAST.match(data, stop.start())) and _BODY.fullmatch(_FIELD.sub(b"", data[end : stop.start()])):
+        return last.end()
+    lines = _OPEN.match(data, end)
+    return lines.end() if lines else end
+
+
 #: The base rules; their order is that of the digests.
 BASE = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", _assigned, ignore_case=True),
@@ -60,7 +82,7 @@ MORE = (
     Rule("google", r"AIza[0-9A-Za-z_-]+", lambda m: len(m) == 39),
     Rule("stripe", r"[rs]k_(live|test)_[A-Za-z0-9]+", lambda m: len(m) >= 24),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
-    Rule("pem", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", tail=_key_end),
 )
 RULES = BASE + MORE
 
@@ -328,7 +350,7 @@ class Automaton:
         if back is None:
             return None
         start = end - back
-        return start, start + self._longest(self.forward[k], data, range(start, len(data)))
+        return start, self.rules[k].tail(data, start + self._longest(self.forward[k], data, range(start, len(data))))
 
     def find(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, end, rule) in bytes, by start, then rule."""
