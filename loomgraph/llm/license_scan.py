@@ -1,10 +1,15 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance along paths.
 
-A file's licence statements are its lines with a licence word; a licence file
-(by its name) is compared as a whole as well.  Both are sparse vectors of
-lower-cased words, weighted by ``tf * idf``; a template's own words get their
-document frequency from all files, any other word counts as unseen.  The best
-template with a cosine of ``MIN_COSINE`` or more is the file's declared licence.
+A file's licence statements lie around its signals, the words that open or name a
+licence: every run of consecutive lines that touches one and has at most ``REACH``
+words, its line and its paragraph whatever their length; a licence file (by its
+name) is compared as a whole as well.  So a notice counts however it is wrapped.
+Statements are sparse vectors of lower-cased words, weighted by ``tf * idf``; a
+template's own words get their document frequency from all files, any other word
+counts as unseen.  The best template with a
+cosine of ``MIN_COSINE`` or more is the file's declared licence.
+
+Statements are reduced to the distinct ones before they are scored.
 
 A file without one inherits from the nearest directory above it (its own first)
 that holds a licence file with a licence.  Directories are reduced to the distinct
@@ -19,8 +24,10 @@ table; extra columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,7 +48,12 @@ TEMPLATES = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, either version 3 of the License, or any later version"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License, either version 2 of the License, or any later version"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3"),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, either version 3 of the License, or any later version"),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, either version 3 of the License, or any later version"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, either version 2.1 of the License, or any later version"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License, either version 3 of the License, or any later version"),
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions of the BSD License are met"),
     ("MPL-2.0", "This file is subject to the terms of the Mozilla Public License, version 2.0"),
@@ -52,7 +64,8 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
-_SIGNAL = re.compile(r"licen[cs]e|public domain|creative commons|\bcc[ -](?:by|0)|copyright|spdx", re.IGNORECASE)
+#: In lower-cased text; its words can stand in two lines.
+_SIGNAL = re.compile(r"licen[cs]e|public[^a-z0-9]+domain|creative[^a-z0-9]+commons|\bcc[^a-z0-9]+(?:by|0)|\bcc0|copyright|spdx|permission|redistribut|free[^a-z0-9]+software|unencumbered")
 _FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([.-][^/]*)?$"
 
 
@@ -61,68 +74,182 @@ def tokens(text: str) -> list[str]:
 
 
 VOCABULARY = sorted({w for _, t in TEMPLATES for w in tokens(t)})
+#: Words of a run of lines: twice those of the longest template.
+REACH = 2 * max(len(tokens(t)) for _, t in TEMPLATES)
+
+
+def signals(text: str) -> list[tuple[int, int]]:
+    """First and last line of each signal."""
+    low = text.lower()
+    found = [m.span() for m in _SIGNAL.finditer(low)]
+    if not found:
+        return []
+    starts, at = [0], low.find("\n")
+    while at >= 0:
+        starts.append(at + 1)
+        at = low.find("\n", at + 1)
+    return [(bisect_right(starts, a) - 1, bisect_right(starts, b - 1) - 1) for a, b in found]
+
+
+def excerpt(text: str | None, whole: bool) -> str | None:
+    """What of a text its statements can lie in: the lines within reach of a signal and its paragraph, parted by NUL where lines are left out."""
+    if not text:
+        return None
+    text = text.replace("\0", " ")
+    if whole:
+        return text
+    found = signals(text)
+    if not found:
+        return None
+    lines = text.split("\n")
+    sizes = [len(_WORD.findall(x.lower())) for x in lines]
+    keep, reached, spread = [False] * len(lines), -1, -1
+    for first, last in found:
+        if last > spread:  # its paragraph, once
+            low, spread = first, last
+            while low and sizes[low - 1]:
+                low -= 1
+            while spread + 1 < len(lines) and sizes[spread + 1]:
+                spread += 1
+            keep[low : spread + 1] = [True] * (spread + 1 - low)
+        if last > reached:
+            reached = last
+            for step, at in ((-1, first - 1), (1, last + 1)):
+                words = 0
+                while 0 <= at < len(lines) and (words := words + sizes[at]) <= REACH:
+                    keep[at] = True
+                    at += step
+    out: list[str] = []
+    for i, line in enumerate(lines):
+        if keep[i]:
+            out.append(line)
+        elif out and out[-1] != "\0":
+            out.append("\0")
+    return "\n".join(out)
 
 
 class Matcher:
-    def __init__(self, n_files: int, frequency: list[int]):
-        self.idf = {w: math.log((1 + n_files) / (1 + n)) + 1 for w, n in zip(VOCABULARY, frequency, strict=True)}
-        self.unseen = math.log(1 + n_files) + 1
-        self.templates = [(name, self.vector(text)) for name, text in TEMPLATES]
-
-    def vector(self, text: str) -> dict[str, float]:
-        raw = {w: n * self.idf.get(w, self.unseen) for w, n in Counter(tokens(text)).items()}
-        norm = math.sqrt(sum(x * x for x in raw.values())) or 1.0
-        return {w: x / norm for w, x in raw.items()}
-
-    def best(self, text: str) -> tuple[float, str | None]:
-        own = self.vector(text)
-        score, name = max(((sum(x * own[w] for w, x in t.items() if w in own), n) for n, t in self.templates), key=lambda m: m[0])
-        return (score, name) if score >= MIN_COSINE else (score, None)
-
-    def declared(self, text: str | None, whole: bool) -> tuple[float, str | None]:
-        """The best match of any statement of a file; ties go to the earlier statement."""
-        found = (0.0, None)
-        if text and _SIGNAL.search(text):
-            for part in [*([text] if whole else []), *(x for x in text.split("\n") if _SIGNAL.search(x))]:
-                match = self.best(part)
-                if match[1] and match[0] > found[0] + 1e-12:
-                    found = match
-        return found
-
-
-def _frequencies(files: DataFrame, text_col: str) -> tuple[int, list[int]]:
-    """Files and, per vocabulary word, files that have it: sums over all files, a vector of fixed length per partition."""
+    def __init__(self, n_files: int, frequency: dict[str, int]):
+        self.n_files = n_files
+        self.known = {w: self.weight(frequency.get(w, 0)) for w in VOCABULARY}
+        self.names = [name for name, _ in TEMPLATES]
+        #: per word, the templates that have it, with their unit vectors' entries
+        self.entries: dict[str, list[tuple[int, float]]] = {}
+        for k, (_, text) in enumerate(TEMPLATES):
+            raw = {w: n * self.known[w] for w, n in Counter(tokens(text)).items()}
+            norm = math.sqrt(sum(x * x for x in raw.values()))
+            for w, x in raw.items():
+                self.entries.setdefault(w, []).append((k, x / norm))
+
+    def weight(self, n: int) -> float:
+        return math.log((1 + self.n_files) / (1 + n)) + 1
+
+    def declared(self, text: str, whole: bool) -> tuple[float, str | None]:
+        """The best match of any statement of an ``excerpt``; ties go to the earlier statement."""
+        idf = self.known
+        unseen = self.weight(0)
+        best, found = 0.0, None
+
+        def grow(lines: list[list[str]], report: list[bool], limit: bool) -> None:
+            """Scores the runs that start with the first line and end where ``report`` says."""
+            nonlocal best, found
+            have: dict[str, int] = {}
+            square, words, dots = 0.0, 0, [0.0] * len(self.names)
+            for j, line in enumerate(lines):
+                words += len(line)
+                if limit and j and words > REACH:
+                    break
+                for w in line:
+                    x, n = idf.get(w, unseen), have.get(w, 0)
+                    square += (2 * n + 1) * x * x
+                    have[w] = n + 1
+                    for k, y in self.entries.get(w, ()):
+                        dots[k] += x * y
+                if report[j] and square:
+                    score = max(dots) / math.sqrt(square)
+                    if score >= MIN_COSINE and score > best + 1e-12:
+                        best, found = min(score, 1.0), self.names[dots.index(max(dots))]
+
+        if whole:
+            every = [tokens(text)]
+            grow(every, [True], False)
+        for region in text.split("\0"):
+            near = signals(region)
+            if not near:
+                continue
+            lines = [tokens(x) for x in region.split("\n")]
+            hit = [False] * len(lines)
+            for first, last in near:
+                hit[first : last + 1] = [True] * (last + 1 - first)
+            full = [i for i, x in enumerate(lines) if x]
+            for p, i in enumerate(full):
+                if p == 0 or full[p - 1] < i - 1:  # a paragraph starts
+                    end = p
+                    while end + 1 < len(full) and full[end + 1] == full[end] + 1:
+                        end += 1
+                    own = full[p : end + 1]
+                    if any(hit[k] for k in own):
+                        grow([lines[k] for k in own], [False] * (len(own) - 1) + [True], False)
+                run, report, touched, words = [], [], False, 0
+                for k in full[p:]:
+                    words += len(lines[k])
+                    if run and words > REACH:
+                        break
+                    touched = touched or hit[k]
+                    run.append(lines[k])
+                    report.append(touched)
+                if touched:
+                    grow(run, report, True)
+        return best, found
+
+
+def _frequencies(files: DataFrame, text_col: str) -> DataFrame:
+    """(word, n): the files that have the word, of the templates' words; that of the empty word is the number of all files."""
     known = set(VOCABULARY)
-    index = {w: i for i, w in enumerate(VOCABULARY)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, count = 0, [0] * len(VOCABULARY)
+        count: Counter[str] = Counter()
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
-                n += 1
-                for w in known.intersection(tokens(text or "")):
-                    count[index[w]] += 1
-        yield pa.RecordBatch.from_pydict({"word": [-1, *range(len(count))], "n": [n, *count]})
+                count.update(known.intersection(tokens(text or "")))
+            count[""] += batch.num_rows
+        yield pa.RecordBatch.from_pydict({"word": pa.array(list(count), pa.string()), "n": pa.array(list(count.values()), pa.int64())})
+
+    return files.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _scored(heads: DataFrame, files: DataFrame, text_col: str) -> DataFrame:
+    """(statement, declared, cosine) of the distinct (statement, named, text), with frequencies of ``files``."""
+
+    frequency = {r["word"]: r["n"] for r in _frequencies(files, text_col).collect()}  # a fixed vocabulary
+    shared = heads.sparkSession.sparkContext.broadcast((frequency.get("", 0), frequency))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(*shared.value)
+        for batch in slices(batches):
+            found = [matcher.declared(t, w) for w, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[1] for f in found], pa.string()), pa.array([f[0] for f in found], pa.float64())], ["statement", "declared", "cosine"])
 
-    rows = files.select(F.col(text_col).alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    total = {r["word"]: r["n"] for r in rows}
-    return total.get(-1, 0), [total.get(i, 0) for i in range(len(VOCABULARY))]
+    return heads.select("statement", "named", "text").mapInArrow(run, "statement binary, declared string, cosine double")
 
 
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", keys: tuple[str, ...] = ()) -> DataFrame:
     """Per file (keys, path, declared, cosine, license, inherited_from): ``license`` is the declared or else the inherited one."""
-    shared = files.sparkSession.sparkContext.broadcast(_frequencies(files, text_col))
     key = F.struct(*(F.col(k) for k in keys)) if keys else F.struct(F.lit(0).alias("none"))
     rows = files.select(F.col(path_col).alias("path"), F.coalesce(F.col(path_col).rlike(_FILE_NAME), F.lit(False)).alias("named"), F.col(text_col).alias("text"), key.alias("key"))
     key_type = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        declared = Matcher(*shared.value).declared
         for batch in slices(batches):
-            found = [declared(t, w) for t, w in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array([f[1] for f in found], pa.string()), pa.array([f[0] for f in found])], ["path", "named", "key", "declared", "cosine"])
+            parts = [excerpt(t, w) for t, w in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            names = [None if t is None else hashlib.blake2b(t.encode(), digest_size=16, salt=b"named" * w).digest() for t, w in zip(parts, batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(names, pa.binary()), pa.array(parts, pa.string())], ["path", "named", "key", "statement", "text"])
 
-    found = cut(rows.mapInArrow(run, f"path string, named boolean, key {key_type}, declared string, cosine double"))
+    read = cut(rows.mapInArrow(run, f"path string, named boolean, key {key_type}, statement binary, text string"))
+    heads = cut(read.where("statement IS NOT NULL").groupBy("statement").agg(F.first("named").alias("named"), F.first("text").alias("text")))
+    scored = _scored(heads, files, text_col)
+    # A common statement's rows can be split, its other side has one row.
+    held = read.where("statement IS NOT NULL").drop("text").join(scored, "statement", "left").select("path", "named", "key", "declared", F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
+    found = cut(held.union(read.where("statement IS NULL").select("path", "named", "key", F.lit(None).cast("string").alias("declared"), F.lit(0.0).alias("cosine"))))
     folder = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit("")))
     found = found.withColumn("folder", folder)
     best = F.struct(-F.col("cosine"), F.col("path").alias("p"), F.col("declared").alias("d"))

@@ -286,3 +286,23 @@ def test_licences_and_inheritance(spark):
     want = [(1, "MIT", "MIT", None), (2, "GPL-3.0", "GPL-3.0", None), (3, None, "GPL-3.0", "a/LICENSE.txt"), (4, "Apache-2.0", "Apache-2.0", None), (5, None, "MIT", "LICENSE"), (6, "CC-BY-NC-4.0", "CC-BY-NC-4.0", None), (7, None, "MIT", "LICENSE"), (8, None, "MIT", "LICENSE"), (8, None, "MIT", "LICENSE"), (9, None, "MIT", "LICENSE"), (10, None, None, None)]
     assert got == sorted(want, key=str)
     assert license_scan.scan(df.limit(0)).count() == 0
+
+
+def plain_scan(spark, texts, copies=1):
+    rows = [(i, f"d{i}/x.py", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string").crossJoin(spark.range(copies).select(F.col("id").alias("copy")))
+    return {r.doc_id: (r.declared, r.cosine) for r in license_scan.scan(df, keys=("doc_id",)).collect()}
+
+
+GPL = "# This program is free software{} you can redistribute it and/or modify\n# it under the terms of the GNU {} Public License as published by\n# the Free Software Foundation, either version {} of the License, or\n# (at your option) any later version.\n#\nimport x"
+
+
+def test_wrapped_headers_are_licences(spark):
+    mit = "// Copyright 2020 A. Person\n//\n// Permission is hereby granted, free of charge, to any person obtaining a copy\n// of this software and associated documentation files (the \"Software\"), to deal\n// in the Software without restriction, including without limitation the rights\n// to use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n// copies of the Software.\n\nint main() {}"
+    bsd = "code\n\n/* Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:\n */"
+    texts = [mit, bsd, GPL.format(";", "General", "2"), GPL.format(":", "General", "3"), GPL.format(":", "Lesser General", "3"), GPL.format(":", "Affero General", "3"), "-- This is free and unencumbered software released into the public\n-- domain.\nSELECT 1", "words without any\nsuch thing"]
+    got = plain_scan(spark, texts + [f"filler text number {i}" for i in range(40)])
+    assert [got[i][0] for i in range(len(texts))] == ["MIT", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0", "Unlicense", None]
+    named = spark.createDataFrame([(1, "a/LICENSE", "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles, to deal in the Software without restriction")], "doc_id long, path string, text string")
+    assert license_scan.scan(named).first().declared == "MIT"
+    assert all(license_scan._SIGNAL.search(t.lower()) for _, t in license_scan.TEMPLATES)
