@@ -4,12 +4,12 @@ A file's licence statements lie around its signals, the words that open or name
 licence: every run of consecutive lines that touches one and has at most ``REACH``
 words, its line and its paragraph whatever their length; a licence file (by its
 name) is compared as a whole as well.  So a notice counts however it is wrapped.
-Statements are sparse vectors of lower-cased words, weighted by ``tf * idf``; a
-template's own words get their document frequency from all files, any other word
-counts as unseen.  The best template with a
+Statements are sparse vectors of lower-cased words, weighted by ``tf * idf``; the
+document frequency of every word comes from all files.  The best template with a
 cosine of ``MIN_COSINE`` or more is the file's declared licence.
 
-Statements are reduced to the distinct ones before they are scored.
+Statements are reduced to the distinct ones, which meet the frequencies of their
+words in a join, so neither has to fit the driver.
 
 A file without one inherits from the nearest directory above it (its own first)
 that holds a licence file with a licence.  Directories are reduced to the distinct
@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -76,6 +77,10 @@ def tokens(text: str) -> list[str]:
 VOCABULARY = sorted({w for _, t in TEMPLATES for w in tokens(t)})
 #: Words of a run of lines: twice those of the longest template.
 REACH = 2 * max(len(tokens(t)) for _, t in TEMPLATES)
+#: Distinct words that a worker counts before it passes them on.
+COUNTED = 50_000
+#: Bits of the hashed words that are asked for: 8 MB.
+BITS = 26
 
 
 def signals(text: str) -> list[tuple[int, int]]:
@@ -144,9 +149,9 @@ class Matcher:
     def weight(self, n: int) -> float:
         return math.log((1 + self.n_files) / (1 + n)) + 1
 
-    def declared(self, text: str, whole: bool) -> tuple[float, str | None]:
+    def declared(self, text: str, whole: bool, frequency: dict[str, int]) -> tuple[float, str | None]:
         """The best match of any statement of an ``excerpt``; ties go to the earlier statement."""
-        idf = self.known
+        idf = {w: self.weight(n) for w, n in frequency.items()} | self.known
         unseen = self.weight(0)
         best, found = 0.0, None
 
@@ -203,16 +208,35 @@ class Matcher:
         return best, found
 
 
-def _frequencies(files: DataFrame, text_col: str) -> DataFrame:
-    """(word, n): the files that have the word, of the templates' words; that of the empty word is the number of all files."""
-    known = set(VOCABULARY)
+def _bit(word: str) -> int:
+    return zlib.crc32(word.encode()) & ((1 << BITS) - 1)
+
+
+def _frequencies(files: DataFrame, text_col: str, asked: DataFrame) -> DataFrame:
+    """(word, n): the files that have the word, of the ``asked`` words at least; that of the empty word is the number of all files."""
+    bit = F.crc32(F.encode("word", "utf-8")).bitwiseAND(F.lit((1 << BITS) - 1))
+    # A bitmap of the words comes to the driver; with many words it lets more of them through, it loses none.
+    parts = asked.select(F.shiftright(bit, 15).alias("part"), bit.bitwiseAND(F.lit(32767)).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits"))
+    bits = bytearray(1 << (BITS - 3))
+    for r in parts.collect():
+        bits[r["part"] << 12 : (r["part"] + 1) << 12] = r["bits"]
+    for h in map(_bit, VOCABULARY):
+        bits[h >> 3] |= 1 << (h & 7)
+    shared = files.sparkSession.sparkContext.broadcast(bytes(bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter[str] = Counter()
+        bits, crc32, mask = shared.value, zlib.crc32, (1 << BITS) - 1
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
-                count.update(known.intersection(tokens(text or "")))
+                for w in set(tokens(text or "")):
+                    h = crc32(w.encode()) & mask
+                    if bits[h >> 3] >> (h & 7) & 1:
+                        count[w] += 1
             count[""] += batch.num_rows
+            if len(count) > COUNTED:
+                yield pa.RecordBatch.from_pydict({"word": list(count), "n": list(count.values())})
+                count.clear()
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(count), pa.string()), "n": pa.array(list(count.values()), pa.int64())})
 
     return files.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -221,15 +245,28 @@ def _frequencies(files: DataFrame, text_col: str) -> DataFrame:
 def _scored(heads: DataFrame, files: DataFrame, text_col: str) -> DataFrame:
     """(statement, declared, cosine) of the distinct (statement, named, text), with frequencies of ``files``."""
 
-    frequency = {r["word"]: r["n"] for r in _frequencies(files, text_col).collect()}  # a fixed vocabulary
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            owner, word = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                own = sorted(set(tokens(text)) | {""})
+                owner += [i] * len(own)
+                word += own
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(word, pa.string())], ["statement", "word"])
+
+    asked = heads.select("statement", "text").mapInArrow(words, "statement binary, word string")
+    frequencies = cut(_frequencies(files, text_col, asked))
+    frequency = {r["word"]: r["n"] for r in frequencies.where(F.col("word").isin("", *VOCABULARY)).collect()}  # a fixed vocabulary
     shared = heads.sparkSession.sparkContext.broadcast((frequency.get("", 0), frequency))
+    known = asked.join(frequencies, "word").groupBy("statement").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(*shared.value)
         for batch in slices(batches):
-            found = [matcher.declared(t, w) for w, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            found = [matcher.declared(t, w, {x["word"]: x["n"] for x in k}) for w, t, k in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[1] for f in found], pa.string()), pa.array([f[0] for f in found], pa.float64())], ["statement", "declared", "cosine"])
 
-    return heads.select("statement", "named", "text").mapInArrow(run, "statement binary, declared string, cosine double")
+    return heads.join(known, "statement").select("statement", "named", "text", "known").mapInArrow(run, "statement binary, declared string, cosine double")
 
 
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", keys: tuple[str, ...] = ()) -> DataFrame:

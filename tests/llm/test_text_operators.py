@@ -306,3 +306,11 @@ def test_wrapped_headers_are_licences(spark):
     named = spark.createDataFrame([(1, "a/LICENSE", "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles, to deal in the Software without restriction")], "doc_id long, path string, text string")
     assert license_scan.scan(named).first().declared == "MIT"
     assert all(license_scan._SIGNAL.search(t.lower()) for _, t in license_scan.TEMPLATES)
+
+
+def test_licences_do_not_change_with_the_number_of_rows(spark):
+    texts = [GPL.format(":", "General", "3"), "released, as is and with the code of others, under the MIT License"] + [f"and of as the by published foundation is code with others {i}" for i in range(30)]
+    few, many = plain_scan(spark, texts), plain_scan(spark, texts, 200)
+    assert {i: d for i, (d, _) in few.items()} == {i: d for i, (d, _) in many.items()} and few[0][0] == "GPL-3.0" and few[1][0] == "MIT"
+    matcher = license_scan.Matcher(1000, {})
+    assert matcher.declared(texts[1], False, {w: 990 for w in "as is and with code of others".split()})[0] > matcher.declared(texts[1], False, {})[0]
