@@ -6,7 +6,8 @@ words, its line and its paragraph whatever their length; a licence file (by its
 name) is compared as a whole as well.  So a notice counts however it is wrapped.
 Statements are sparse vectors of lower-cased words, weighted by ``tf * idf``; the
 document frequency of every word comes from all files.  The best template with a
-cosine of ``MIN_COSINE`` or more is the file's declared licence.
+cosine of ``MIN_COSINE`` or more is the file's declared licence.  An SPDX tag is
+read as such: it declares its identifiers with a cosine of 1.
 
 Statements are reduced to the distinct ones, which meet the frequencies of their
 words in a join, so neither has to fit the driver.
@@ -67,6 +68,9 @@ TEMPLATES = (
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 #: In lower-cased text; its words can stand in two lines.
 _SIGNAL = re.compile(r"licen[cs]e|public[^a-z0-9]+domain|creative[^a-z0-9]+commons|\bcc[^a-z0-9]+(?:by|0)|\bcc0|copyright|spdx|permission|redistribut|free[^a-z0-9]+software|unencumbered")
+_ID = r"\(*[a-z0-9][a-z0-9.+-]*\)*"
+_SPDX = re.compile(rf"spdx-license-identifier:[ \t]*({_ID}(?:[ \t]+(?:and|or|with)[ \t]+{_ID})*)", re.IGNORECASE)
+_NAMES = {n.lower(): n for n, _ in TEMPLATES}
 _FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([.-][^/]*)?$"
 
 
@@ -83,6 +87,16 @@ COUNTED = 50_000
 BITS = 26
 
 
+def spdx(text: str) -> str | None:
+    """The licence that the first SPDX tag names, an expression as it stands; known names without -only, -or-later and +."""
+    for m in _SPDX.finditer(text):
+        short = lambda x: _NAMES.get(re.sub(r"(-only|-or-later|\+)$", "", x[0].lower()), x[0])
+        name = re.sub(r"[A-Za-z0-9][A-Za-z0-9.+-]*", short, m[1])
+        if name.upper() not in ("NONE", "NOASSERTION"):
+            return name
+    return None
+
+
 def signals(text: str) -> list[tuple[int, int]]:
     """First and last line of each signal."""
     low = text.lower()
@@ -151,6 +165,8 @@ class Matcher:
 
     def declared(self, text: str, whole: bool, frequency: dict[str, int]) -> tuple[float, str | None]:
         """The best match of any statement of an ``excerpt``; ties go to the earlier statement."""
+        if name := spdx(text):
+            return 1.0, name
         idf = {w: self.weight(n) for w, n in frequency.items()} | self.known
         unseen = self.weight(0)
         best, found = 0.0, None

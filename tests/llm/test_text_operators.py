@@ -314,3 +314,9 @@ def test_licences_do_not_change_with_the_number_of_rows(spark):
     assert {i: d for i, (d, _) in few.items()} == {i: d for i, (d, _) in many.items()} and few[0][0] == "GPL-3.0" and few[1][0] == "MIT"
     matcher = license_scan.Matcher(1000, {})
     assert matcher.declared(texts[1], False, {w: 990 for w in "as is and with code of others".split()})[0] > matcher.declared(texts[1], False, {})[0]
+
+
+def test_spdx_tags_are_licences(spark):
+    tags = ["Apache-2.0", "MIT", "gpl-2.0-or-later", "GPL-3.0-only", "ISC", "(MIT OR Apache-2.0)", "GPL-2.0+ WITH Classpath-exception-2.0", "NONE"]
+    got = plain_scan(spark, [f"/* SPDX-License-Identifier: {t} */\nint x;" for t in tags])
+    assert [got[i][0] for i in range(len(tags))] == ["Apache-2.0", "MIT", "GPL-2.0", "GPL-3.0", "ISC", "(MIT OR Apache-2.0)", "GPL-2.0 WITH Classpath-exception-2.0", None]
