@@ -4,7 +4,7 @@
 2. n-gram Jaccard join: of each group of near-duplicates the document with the least id stays;
 3. benchmark decontamination: documents with a benchmark window go;
 4. secret scans: secrets are replaced by a mark;
-5. packing: what is left becomes token sequences.
+5. packing: what is left becomes padded token sequences, each on the row of its first piece.
 
 All but the last return the columns of ``documents``; ``n_chars`` follows the text.
 """
@@ -46,7 +46,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path(), window=2048, end_id=1)
+    """One row per piece; that of a sequence's first piece has the sequence in ``input_ids``."""
+    return packing.read_back(packing.pack_sequences(docs, tokenizer_path(), window=2048, end_id=1), with_sequences=True)
 
 
 STAGES = [

@@ -12,6 +12,10 @@ Each piece then finds its sequence from its rank within its length class.  Ranks
 are made of a running number within the partition and the counts of the
 partitions before, hence no class is gathered in one task.
 
+The ids go along, compressed on the way; those of a sequence are laid end to end
+and padded with 0 to the window, except where they number a power of two.  What is
+told of a piece is read back from its sequence.
+
 Defined results: a null text counts as empty; a document that ends on a window's
 border has no empty piece; equal ids are kept apart; an empty table gives an
 empty table.
@@ -33,6 +37,8 @@ from .textscan import slices
 from .workspace import cut
 
 UNIT, DEPTH = 8, 3
+#: Sequences that a worker builds at a time.
+BLOCK = 256
 
 
 def compositions(units: int, depth: int = DEPTH) -> list[tuple[int, ...]]:
@@ -137,14 +143,18 @@ def slots(steps: list[tuple[tuple[int, ...], int]], units: int) -> list[tuple[np
     return [tuple(np.array(c, np.int64) for c in zip(*r, strict=True)) if r else (np.zeros(0, np.int64),) * 3 for r in runs]
 
 
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", 1)
+
+
 def pieces(documents: DataFrame, tokenizer_path: str, window: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Each document's ids and ``end_id``, cut into whole windows and a rest, with its length class and running number in its partition."""
+    """Each document's ids and ``end_id``, cut into whole windows and a rest, with its length class and running number in its partition; ``ids`` are compressed."""
     rows = documents.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = rows.schema[id_col].dataType.simpleString()
     units = -(-window // UNIT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path).encode
+        encode, compress = encoder(tokenizer_path).encode, _codec().compress
         part, seen = TaskContext.get().partitionId(), np.zeros(units + 1, np.int64)
         for batch in slices(batches):
             ids, ends = encode(texts_of(batch.column(1)))
@@ -158,7 +168,7 @@ def pieces(documents: DataFrame, tokenizer_path: str, window: int, end_id: int,
                     length.append(len(piece) // 4)
                     crc.append(zlib.crc32(piece))
                     total.append(len(own))
-                    raw.append(piece if with_ids else None)
+                    raw.append(compress(piece, asbytes=True) if with_ids else None)
             size = -(-np.array(length, np.int64) // UNIT)
             order = np.argsort(size, kind="stable")
             by_size = size[order]
@@ -184,7 +194,8 @@ def assign(made: DataFrame, window: int, depth: int = DEPTH) -> DataFrame:
     table = slots(plan(histogram, depth), units)
     before = F.sum("n").over(Window.partitionBy("units").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     base = per_part.select("part", "units", F.coalesce(before, F.lit(0)).cast("long").alias("base"))
-    ranked = made.join(base, ["part", "units"]).withColumn("rank", F.col("base") + F.col("number")).drop("base", "number", "part")
+    # The base has a row per partition and class; sending it to the pieces leaves their ids where they are.
+    ranked = made.join(F.broadcast(base), ["part", "units"]).withColumn("rank", F.col("base") + F.col("number")).drop("base", "number", "part")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,15 +215,60 @@ def assign(made: DataFrame, window: int, depth: int = DEPTH) -> DataFrame:
     return placed.withColumn("offset", F.coalesce(offset, F.lit(0)).cast("long"))
 
 
+def _unpressed(packed: DataFrame) -> DataFrame:
+    """Rows with the ids themselves in ``ids``."""
+    names = packed.columns
+    at = names.index("ids")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, size = _codec(), names.index("length")
+        for batch in batches:
+            for i in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(i, BLOCK)
+                ids = [codec.decompress(x, 4 * n, asbytes=True) for x, n in zip(part.column(at).to_pylist(), part.column(size).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()) if k == at else c for k, c in enumerate(part.columns)], names)
+
+    return packed.mapInArrow(run, fields)
+
+
 def pack(documents: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, place, offset (and the ids themselves)."""
-    return assign(cut(pieces(documents, tokenizer_path, window, end_id, id_col, text_col, with_ids)), window, depth)
+    packed = assign(cut(pieces(documents, tokenizer_path, window, end_id, id_col, text_col, with_ids)), window, depth)
+    return _unpressed(packed) if with_ids else packed
+
+
+def pack_sequences(documents: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The packed sequences of the documents, as ``sequences`` gives them."""
+    return sequences(assign(cut(pieces(documents, tokenizer_path, window, end_id, id_col, text_col, with_ids=True)), window, depth), window, id_col, compressed=True)
 
 
-def sequences(packed: DataFrame, window: int = 2048) -> DataFrame:
-    """The packed sequences of ``pack(..., with_ids=True)``: (sequence_id, n_ids, input_ids binary of little-endian uint32, piece_starts).  A sequence is padded with 0 to the window, except where its ids number a power of two."""
-    parts = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("place", "offset", "length", "ids"))).alias("p"))  # at most a window of ids
-    n = F.aggregate("p", F.lit(0).cast("long"), lambda s, p: s + p["length"])
-    ids = F.aggregate("p", F.lit(b""), lambda s, p: F.concat(s, p["ids"]))
-    power = F.bit_count(F.col("n_ids")) == 1
-    return parts.select("sequence_id", n.alias("n_ids"), ids.alias("raw"), F.transform("p", lambda p: p["offset"]).alias("piece_starts")).select("sequence_id", "n_ids", F.when(power, F.col("raw")).otherwise(F.rpad("raw", F.lit(4 * window), F.lit(b"\0"))).alias("input_ids"), "piece_starts")
+def sequences(packed: DataFrame, window: int = 2048, id_col: str = "doc_id", compressed: bool = False) -> DataFrame:
+    """The packed sequences of ``pack(..., with_ids=True)``: (sequence_id, n_ids, input_ids binary of little-endian uint32, piece_starts, pieces: id_col, start, length, doc_tokens, place and offset of each).  A sequence is padded with 0 to the window, except where its ids number a power of two."""
+    told = ["place", "offset", id_col, "start", "length", "doc_tokens"]
+    # At most a window of ids; a place occurs once in a sequence, so no later field decides the order.
+    parts = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct(*told, "ids")), lambda a, b: (a["place"] - b["place"]).cast("int")).alias("p"))
+    rows = parts.select("sequence_id", F.aggregate("p", F.lit(0).cast("long"), lambda s, p: s + p["length"]).alias("n_ids"), F.transform("p", lambda p: p["ids"]).alias("ids"), F.transform("p", lambda p: p["length"]).alias("lengths"), F.transform("p", lambda p: F.struct(*(p[c].alias(c) for c in told))).alias("pieces"))
+    piece_type = rows.schema["pieces"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec()
+        for batch in batches:
+            for i in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(i, BLOCK)
+                out = []
+                for n, ids, lengths in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                    raw = b"".join(codec.decompress(x, 4 * k, asbytes=True) if compressed else x for x, k in zip(ids, lengths, strict=True))
+                    out.append(raw if n & (n - 1) == 0 else raw.ljust(4 * window, b"\0"))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary()), part.column(4)], ["sequence_id", "n_ids", "input_ids", "pieces"])
+
+    made = rows.mapInArrow(run, f"sequence_id long, n_ids long, input_ids binary, pieces {piece_type}")
+    return made.select("sequence_id", "n_ids", "input_ids", F.transform("pieces", lambda p: p["offset"]).alias("piece_starts"), "pieces")
+
+
+def read_back(made: DataFrame, id_col: str = "doc_id", with_sequences: bool = False) -> DataFrame:
+    """``pack``'s rows, each piece read from its place in its sequence of ``sequences``; ``with_sequences``: the row of a sequence's first piece has it as ``input_ids``, the others null."""
+    rows = made.select("sequence_id", "input_ids", F.explode("pieces").alias("p"))
+    ids = F.expr("substring(input_ids, int(4 * p.offset + 1), int(4 * p.length))")
+    columns = [F.col("p")[id_col].alias(id_col), F.col("p.start").alias("start"), F.col("p.length").alias("length"), F.crc32(ids).alias("ids_crc32"), F.col("p.doc_tokens").alias("doc_tokens"), F.col("sequence_id"), F.col("p.place").alias("place"), F.col("p.offset").alias("offset")]
+    return rows.select(*columns, *([F.when(F.col("p.place") == 0, F.col("input_ids")).alias("input_ids")] if with_sequences else []))

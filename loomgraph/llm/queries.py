@@ -27,7 +27,7 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path(), window=2048, end_id=1)
+    return packing.read_back(packing.pack_sequences(read(spark, sf_dir, "documents"), tokenizer_path(), window=2048, end_id=1))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each stage of the pipeline on its own input, and the whole run."""
 
 import random
+import zlib
 
 import pytest
 
@@ -82,3 +83,11 @@ def test_run(spark, folder):
     ids = {r.doc_id for r in rows}
     assert ids.isdisjoint({100, 101, 102, 104, 105, 106, 107}) and {0, 3, 4, 108, 109} <= ids
     assert sum(r.length for r in rows if r.doc_id == 108) == next(r.doc_tokens for r in rows if r.doc_id == 108)
+
+
+def test_run_returns_the_sequences(spark, folder):
+    rows = corpus_pipeline.run(spark, folder[0]).collect()
+    whole = {r.sequence_id: r.input_ids for r in rows if r.place == 0}
+    assert {r.sequence_id for r in rows} == set(whole)
+    for r in rows:
+        assert zlib.crc32(whole[r.sequence_id][4 * r.offset : 4 * (r.offset + r.length)]) == r.ids_crc32

@@ -136,6 +136,22 @@ def test_pack(spark, odd_documents, no_documents, bpe_path, library, window):
     assert packing.pack(no_documents, bpe_path).count() == 0
 
 
+@pytest.mark.parametrize("window", [64, 2048])
+def test_rows_are_read_from_padded_sequences(spark, odd_documents, no_documents, bpe_path, window):
+    made = packing.pack_sequences(odd_documents, bpe_path, window=window).cache()
+    rows = packing.read_back(made, with_sequences=True).collect()
+    plain = packing.pack(odd_documents, bpe_path, window=window)
+    assert sorted(map(tuple, packing.read_back(made).select(*plain.columns).collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    whole = {r.sequence_id: np.frombuffer(r.input_ids, "<u4") for r in rows if r.place == 0}
+    assert len(whole) == len({r.sequence_id for r in rows}) and all((r.input_ids is None) == (r.place > 0) for r in rows)
+    for k, ids in whole.items():
+        own = [r for r in rows if r.sequence_id == k]
+        n = sum(r.length for r in own)
+        assert len(ids) == (n if n & (n - 1) == 0 else window) and not ids[n:].any()
+        assert all(crc(ids[r.offset : r.offset + r.length]) == r.ids_crc32 for r in own)
+    assert packing.read_back(packing.pack_sequences(no_documents, bpe_path)).count() == 0
+
+
 def test_pack_pads_little(spark, bpe_path):
     rnd = random.Random(3)
     docs = spark.createDataFrame([(i, "word " * int(rnd.expovariate(1 / 500))) for i in range(1500)], "doc_id long, text string")
