@@ -135,6 +135,8 @@ def trace(symbols: DataFrame, relationships: DataFrame, source: str, target: str
     visited, steps, nodes, edges = frontier.select("id"), [], 1, 0
     for _ in range(max_depth):
         step, n_edges, n_new = _level(symbols, relationships, frontier, visited, list(KINDS), incoming=False, start=nodes)
+        if n_edges > budget.MAX_EDGES:  # the level is cut anywhere, so a hit need not be the first discovery
+            raise budget.BudgetError("path trace exceeded its work limit")
         hit = step.where(F.col("id") == goal).first()
         steps.append(step)
         if hit:

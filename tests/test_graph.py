@@ -117,3 +117,13 @@ def test_callers_files_quality(spark):
     hits = s.selectExpr("*", "CAST(1 AS DOUBLE) AS score")
     kept, found = graph.explore(s, e, hits, 2)
     assert kept.count() == 2 and {r.direction for r in found.collect()} <= {"callers", "callees", "references", "referenced_by"}
+
+
+def test_trace_gives_no_path_of_a_cut_level(spark, monkeypatch):
+    names = ["a", *(f"h{i}" for i in range(8))]
+    s, e = symbols(spark, names), edges(spark, [("a", f"h{i}", "calls", 0.9, 1) for i in range(8)]).coalesce(1)
+    assert graph.trace(s, e, "a", "h0").status == "found"
+    monkeypatch.setattr(budget, "MAX_EDGES", 5)
+    for target in ("h0", "h4", "h7"):
+        with pytest.raises(budget.BudgetError):
+            graph.trace(s, e, "a", target)
