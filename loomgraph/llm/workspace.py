@@ -1,30 +1,5 @@
 """Where operators put intermediate tables and files that all executors must see."""
 
-from __future__ import annotations
+from ..plans.lineage import cut, forget, keep, shared_folder, shared_root
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; where it is unset, as in tests, a folder of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='loomgraph-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's name below the shared root."""
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows read back from the shared folder: lineage ends here, and a lost executor costs nothing that came before."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "forget", "keep", "shared_folder", "shared_root"]
