@@ -12,8 +12,10 @@ shingle).  Two texts are linked if their sets' Jaccard similarity is at least
    tokens: a class goes to the sub-bucket (path, token) of each token that a hash of
    path and token picks, with chance ``1 / (SPLIT_AT * tokens)``.  Buckets of one
    class end; those of at most ``SMALL`` are leaves, larger ones split again, up to
-   ``DEPTH`` times.  Runs repeat (``runs_for``) until a pair at the threshold has
-   met in some leaf with the target recall.
+   ``DEPTH`` times, unless their members are so alike (``SPLIT_AT`` on average, by
+   ``SAMPLE`` of them) that the sub-buckets would have no fewer pairs: these are leaves
+   as they stand.  Runs repeat (``runs_for``) until a pair at the threshold has met in
+   some leaf with the target recall.
 4. Leaves with the same members are one leaf.  Large leaves that share most members,
    as those of a large group of near-copies do, are joined into one, which compares
    every pair that any of them would.
@@ -54,7 +56,7 @@ from .textscan import mix64, ragged, slices, span_hash, utf8
 from .workspace import forget, keep
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
-BINS, DEPTH, SMALL, MARGIN, SALTS = 128, 3, 200, 4.5, 32
+BINS, DEPTH, SMALL, SAMPLE, MARGIN, SALTS = 128, 3, 200, 8, 4.5, 32
 #: Most classes and shingles, about, on either side of a comparison.
 BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 #: Rows of (path, two numbers) that are sent to all executors, 2.4 MB; more are joined by salted keys.
@@ -217,24 +219,50 @@ def _meet(level: DataFrame, paths: DataFrame, key: str = "path", how: str = "inn
     return level.withColumn("salt", salt).join(salted, [key, "salt"], how).drop("salt")
 
 
+def _split_or_not(level: DataFrame, large: DataFrame, classes: DataFrame) -> DataFrame:
+    """(path, size, shingles, alike) of the large buckets; alike: splitting it would leave as many pairs."""
+    members = [F.min_by("cid", F.xxhash64("cid", F.lit(k))) for k in range(SAMPLE)]
+    drawn = _meet(level.select("path", "cid"), large.select("path", "size", "shingles")).groupBy("path", "size", "shingles").agg(F.array(*members).alias("drawn"))
+    drawn = keep(drawn.select("path", "size", "shingles", F.explode("drawn").alias("cid")))
+    few = drawn.limit(SENT + 1).count() <= SENT
+    told = classes.select("cid", "minima").join(F.broadcast(drawn) if few else drawn, "cid")
+    told = told.groupBy("path", "size", "shingles").agg(F.collect_list("minima").alias("minima"))  # SAMPLE of them
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for own in batch.column(3).to_pylist():
+                m = np.frombuffer(b"".join(own), np.uint32).reshape(-1, BINS)
+                a, b = np.triu_indices(len(m), 1)
+                used = np.maximum(((m[a] != _EMPTY) | (m[b] != _EMPTY)).sum(1), 1)
+                alike.append(bool((((m[a] == m[b]) & (m[a] != _EMPTY)).sum(1) / used).mean() >= SPLIT_AT))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(alike)], ["path", "size", "shingles", "alike"])
+
+    out = keep(told.mapInArrow(run, "path long, size long, shingles long, alike boolean"))
+    forget(drawn)
+    return out
+
+
 def leaves_of(classes: DataFrame, runs: int) -> tuple[DataFrame, list[DataFrame]]:
     """(path, cid, size, shingles): the leaves of all runs, with the numbers of each leaf; and the tables that they are read from."""
     level = keep(_level_one(classes, runs))
-    sizes = [_sizes(level)]
     large = F.col("size") > SMALL
-    deeper = keep(_deeper(level, sizes[0].where(large).select("path"), classes))
+    sizes = [_sizes(level)]
+    told = [_split_or_not(level, sizes[0].where(large), classes)]
+    deeper = keep(_deeper(level, told[0].where("NOT alike").select("path"), classes))
     levels = [level, deeper.where("parent IS NULL").drop("parent")]
     for _ in range(DEPTH - 2):
         sizes.append(_sizes(levels[-1]))
-        levels.append(_meet(deeper.where("parent IS NOT NULL"), sizes[-1].where(large).select("path"), "parent", "left_semi").drop("parent"))
+        told.append(_split_or_not(levels[-1], sizes[-1].where(large), classes))
+        levels.append(_meet(deeper.where("parent IS NOT NULL"), told[-1].where("NOT alike").select("path"), "parent", "left_semi").drop("parent"))
     sizes.append(_sizes(levels[-1]))
-    every, found = _union(levels), _union(sizes)
+    every, found = _union(levels).select("path", "cid"), _union(sizes)
     # Small leaves, once each; rows of large buckets are left out before the others meet their leaves.
     small = found.where(~large).groupBy("size", "s", "x").agg(F.min("path").alias("path"), F.first("shingles").alias("shingles"))
-    rest = _meet(every, found.where(large).select("path"), how="left_anti")
-    out = rest.select("path", "cid").join(small.select("path", "size", "shingles"), "path")
-    joined, names = _joined(levels[-1].select("path", "cid"), sizes[-1].where(large).select("path", "size", "shingles"))
-    return out.unionByName(joined), [level, deeper, names, *sizes]
+    out = _meet(every, found.where(large).select("path"), how="left_anti").join(small.select("path", "size", "shingles"), "path")
+    unsplit = _union([*(t.where("alike").drop("alike") for t in told), sizes[-1].where(large).select("path", "size", "shingles")])
+    joined, names = _joined(every, unsplit)
+    return out.unionByName(joined), [level, deeper, names, *sizes, *told]
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
