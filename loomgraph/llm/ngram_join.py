@@ -254,7 +254,7 @@ def leaves_of(classes: DataFrame, runs: int) -> tuple[DataFrame, list[DataFrame]
     for _ in range(DEPTH - 2):
         sizes.append(_sizes(levels[-1]))
         told.append(_split_or_not(levels[-1], sizes[-1].where(large), classes))
-        levels.append(_meet(deeper.where("parent IS NOT NULL"), told[-1].where("NOT alike").select("path"), "parent", "left_semi").drop("parent"))
+        levels.append(keep(_meet(deeper.where("parent IS NOT NULL"), told[-1].where("NOT alike").select("path"), "parent", "left_semi").drop("parent")))
     sizes.append(_sizes(levels[-1]))
     every, found = _union(levels).select("path", "cid"), _union(sizes)
     # Small leaves, once each; rows of large buckets are left out before the others meet their leaves.
@@ -262,7 +262,7 @@ def leaves_of(classes: DataFrame, runs: int) -> tuple[DataFrame, list[DataFrame]
     out = _meet(every, found.where(large).select("path"), how="left_anti").join(small.select("path", "size", "shingles"), "path")
     unsplit = _union([*(t.where("alike").drop("alike") for t in told), sizes[-1].where(large).select("path", "size", "shingles")])
     joined, names = _joined(every, unsplit)
-    return out.unionByName(joined), [level, deeper, names, *sizes, *told]
+    return out.unionByName(joined), [level, deeper, *levels[2:], names, *sizes, *told]
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
