@@ -103,14 +103,38 @@ class Pretokens:
         return joined, points, starts, np.searchsorted(starts, bounds)
 
     @staticmethod
-    def distinct(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each distinct pre-token the index of its first occurrence; for each pre-token which of them it is.  Exact: equal hashes are compared symbol by symbol."""
+    def distinct(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each distinct pre-token the index of its first occurrence; for each pre-token which of them it is; the distinct ones' hashes, ascending.  Exact: equal hashes are compared symbol by symbol."""
         a, b = starts[:-1], starts[1:]
-        _, first, which = np.unique(span_hash(points, a, b), return_index=True, return_inverse=True)
+        hashes, first, which = np.unique(span_hash(points, a, b), return_index=True, return_inverse=True)
         lengths, other = b - a, a[first][which]
         if not np.array_equal(lengths, lengths[first][which]) or not np.array_equal(points[ragged(other, lengths)], points[: starts[-1]]):
             raise ArithmeticError("two pre-tokens share a hash")
-        return first, which
+        return first, which, hashes
+
+
+class _Growing:
+    """Ragged rows of numbers, appended at the end."""
+
+    def __init__(self, kind: type):
+        self.data, self.ends, self.n = np.empty(1 << 16, kind), np.zeros(1 << 14, np.int64), 0
+
+    def append(self, data: np.ndarray, lengths: np.ndarray) -> None:
+        n, end = self.n, int(self.ends[self.n])
+        while n + len(lengths) + 1 > len(self.ends):
+            self.ends = np.resize(self.ends, 2 * len(self.ends))
+        while end + len(data) > len(self.data):
+            self.data = np.resize(self.data, 2 * len(self.data))
+        self.data[end : end + len(data)] = data
+        self.ends[n + 1 : n + len(lengths) + 1] = end + np.cumsum(lengths)
+        self.n = n + len(lengths)
+
+    def lengths(self, rows: np.ndarray) -> np.ndarray:
+        return self.ends[rows + 1] - self.ends[rows]
+
+    def take(self, rows: np.ndarray) -> np.ndarray:
+        """The numbers of the given rows, one row after another."""
+        return self.data[ragged(self.ends[rows], self.lengths(rows))]
 
 
 class Encoder:
@@ -124,49 +148,75 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _forget(self) -> None:
-        self._known: dict[str, int] = {}
-        self._ids = np.empty(1 << 16, np.uint32)
-        self._ends = np.zeros(1 << 14, np.int64)
-        self._uses = np.zeros(1 << 14, np.uint16)
-
-    def _append(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        k, n = len(self._known), len(words)
-        while k + n + 1 > len(self._ends):
-            self._ends, self._uses = np.resize(self._ends, 2 * len(self._ends)), np.resize(self._uses, 2 * len(self._uses))
-        end = self._ends[k]
-        while end + len(ids) > len(self._ids):
-            self._ids = np.resize(self._ids, 2 * len(self._ids))
-        self._ids[end : end + len(ids)] = ids
-        self._ends[k + 1 : k + n + 1] = end + np.cumsum(lengths)
-        self._uses[k : k + n] = 0
-        self._known.update(zip(words, range(k, k + n), strict=True))
+        """Rows of the table: ids, symbols, hash and uses of a pre-token.  They are found by hash in two sorted lists, of old rows and of new ones."""
+        self._ids, self._points = _Growing(np.uint32), _Growing(np.uint32)
+        self._hashes, self._uses = np.empty(0, np.uint64), np.empty(0, np.uint16)
+        self._old = self._new = (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+    def _append(self, hashes: np.ndarray, points: np.ndarray, sizes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        rows = np.arange(self._ids.n, self._ids.n + len(hashes))
+        self._ids.append(ids, lengths)
+        self._points.append(points, sizes)
+        self._hashes = np.concatenate([self._hashes, hashes])
+        self._uses = np.concatenate([self._uses, np.zeros(len(hashes), np.uint16)])
+        self._new = self._merged(self._new, (hashes, rows))
+        if len(self._new[0]) > 4096 + len(self._old[0]) // 8:
+            self._old, self._new = self._merged(self._old, self._new), (np.empty(0, np.uint64), np.empty(0, np.int64))
+        return rows
+
+    @staticmethod
+    def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        hashes, rows = (np.concatenate(x) for x in zip(a, b, strict=True))
+        order = np.argsort(hashes, kind="stable")
+        return hashes[order], rows[order]
+
+    def _find(self, hashes: np.ndarray, points: np.ndarray, a: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The table's row of each pre-token, -1 where it has none; equal hashes are compared symbol by symbol."""
+        found = np.full(len(hashes), -1)
+        for known, rows in (self._old, self._new):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[at] == hashes
+                found[hit] = rows[at[hit]]
+        held = np.flatnonzero(found >= 0)
+        held = held[self._points.lengths(found[held]) == sizes[held]]
+        out = np.full(len(hashes), -1)
+        out[held] = found[held]
+        other = points[ragged(a[held], sizes[held])] != self._points.take(found[held])
+        if other.any():
+            out[held[np.repeat(np.arange(len(held)), sizes[held])[other]]] = -1
+        return out
 
     def _thin(self) -> None:
         """Keeps the pre-tokens that most batches used, half of the table at most."""
-        uses = self._uses[: len(self._known)]
-        least = max(2, int(np.sort(uses)[-(CACHE // 2) :][0]) + 1) if len(uses) > CACHE // 2 else 2
-        kept = np.flatnonzero(uses >= least)
-        words, begin, lengths = list(self._known), self._ends[kept], self._ends[kept + 1] - self._ends[kept]
-        ids = self._ids[ragged(begin, lengths)]
+        least = max(2, int(np.sort(self._uses)[-(CACHE // 2) :][0]) + 1) if len(self._uses) > CACHE // 2 else 2
+        kept = np.flatnonzero(self._uses >= least)
+        rows = self._hashes[kept], self._points.take(kept), self._points.lengths(kept), self._ids.take(kept), self._ids.lengths(kept)
         self._forget()
-        self._append([words[i] for i in kept.tolist()], ids, lengths)
+        self._append(*rows)
 
-    def _learn(self, words: list[str]) -> None:
-        """Encodes new pre-tokens, a line each where white space is not part of the question."""
-        spaces = [w for w in words if w.isspace()]
-        lines = [w for w in words if not w.isspace()] if spaces else words
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new pre-tokens, one after another, and how many each has; a line each where white space is not part of the question."""
+        alone = [k for k, w in enumerate(words) if w.isspace()]
+        lines = [k for k, w in enumerate(words) if not w.isspace()] if alone else list(range(len(words)))
+        parts, start, lengths, end = [], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), 0
         for i in range(0, len(lines), 4096):
-            part = lines[i : i + 4096]
-            ids = np.array(self._one("\n".join(part)), np.uint32) if len(self._newline) == 1 else np.empty(0, np.uint32)
+            own = lines[i : i + 4096]
+            ids = np.array(self._one("\n".join([words[k] for k in own])), np.uint32) if len(self._newline) == 1 else np.empty(0, np.uint32)
             cut = np.flatnonzero(ids == self._newline[0])
-            if len(cut) == len(part) - 1:
-                lengths = np.diff(cut, prepend=-1, append=len(ids)) - 1
-                self._append(part, np.delete(ids, cut), lengths)
+            if len(cut) == len(own) - 1:
+                first = np.concatenate([[0], cut + 1])
+                start[own], lengths[own] = end + first, np.append(cut, len(ids)) - first
+                parts.append(ids)
+                end += len(ids)
             else:
-                spaces = spaces + part
-        for w in spaces:
-            ids = np.array(self._one(w), np.uint32)
-            self._append([w], ids, np.array([len(ids)]))
+                alone = alone + own
+        for k in alone:
+            ids = np.array(self._one(words[k]), np.uint32)
+            start[k], lengths[k] = end, len(ids)
+            parts.append(ids)
+            end += len(ids)
+        return np.concatenate(parts)[ragged(start, lengths)], lengths
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the offset of each (one more entry than texts)."""
@@ -189,23 +239,21 @@ class Encoder:
         joined, points, starts, per_text = self.pretokens.split(texts)
         if len(starts) < 2:
             return np.empty(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        first, which = Pretokens.distinct(points, starts)
-        a, b = starts[first].tolist(), starts[first + 1].tolist()
-        words = [joined[i:j] for i, j in zip(a, b, strict=True)]
-        if len(self._known) + len(words) > CACHE:
+        first, which, hashes = Pretokens.distinct(points, starts)
+        a = starts[first]
+        sizes = starts[first + 1] - a
+        if self._ids.n + len(first) > CACHE:
             self._thin()
-        index = list(map(self._known.get, words))
-        if None in index:
-            self._learn([w for w, k in zip(words, index, strict=True) if k is None])
-            index = list(map(self._known.get, words))
-        index = np.array(index, np.int64)
+        index = self._find(hashes, points, a, sizes)
+        new = np.flatnonzero(index < 0)
+        if len(new):
+            ids, lengths = self._learn([joined[i:j] for i, j in zip(a[new].tolist(), (a + sizes)[new].tolist(), strict=True)])
+            index[new] = self._append(hashes[new], points[ragged(a[new], sizes[new])], sizes[new], ids, lengths)
         self._uses[index] += 1
         index = index[which]
-        begin = self._ends[index]
-        lengths = self._ends[index + 1] - begin
-        ends = np.zeros(len(lengths) + 1, np.int64)
-        np.cumsum(lengths, out=ends[1:])
-        return self._ids[ragged(begin, lengths)], ends[per_text]
+        ends = np.zeros(len(index) + 1, np.int64)
+        np.cumsum(self._ids.lengths(index), out=ends[1:])
+        return self._ids.take(index), ends[per_text]
 
 
 @lru_cache(maxsize=2)

@@ -131,7 +131,7 @@ class Counter:
         plain = np.array(self.pretokens.plain(texts), bool)
         joined, points, starts, per_text = self.pretokens.split([t for t, p in zip(texts, plain, strict=True) if p])
         if len(starts) > 1:
-            first, which = Pretokens.distinct(points, starts)
+            first, which, _ = Pretokens.distinct(points, starts)
             words = [joined[i:j] for i, j in zip(starts[first].tolist(), starts[first + 1].tolist(), strict=True)]
             if len(self._known) + len(words) > CACHE:
                 self._known = {}
