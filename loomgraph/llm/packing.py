@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encoder, texts_of
 from .textscan import slices
-from .workspace import cut
+from .workspace import keep
 
 UNIT, DEPTH = 8, 3
 #: Sequences that a worker builds at a time.
@@ -185,7 +185,7 @@ def pieces(documents: DataFrame, tokenizer_path: str, window: int, end_id: int,
 
 
 def assign(made: DataFrame, window: int, depth: int = DEPTH) -> DataFrame:
-    """Adds sequence_id and the offset in it to ``pieces`` rows, which must be stable (read from a table or checkpoint)."""
+    """Adds sequence_id and the offset in it to ``pieces`` rows, which must be stable (read from a written table)."""
     units = -(-window // UNIT)
     per_part = made.groupBy("part", "units").agg(F.count("*").alias("n"))
     histogram = np.zeros(units + 1, np.int64)
@@ -212,7 +212,8 @@ def assign(made: DataFrame, window: int, depth: int = DEPTH) -> DataFrame:
 
     placed = ranked.mapInArrow(run, f"{fields}, sequence_id long, place long").drop("rank", "units")
     offset = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
-    return placed.withColumn("offset", F.coalesce(offset, F.lit(0)).cast("long"))
+    placed = placed.withColumn("offset", F.coalesce(offset, F.lit(0)).cast("long"))
+    return placed.select(*(c for c in placed.columns if c != "place"), "place")
 
 
 def _unpressed(packed: DataFrame) -> DataFrame:
@@ -233,14 +234,14 @@ def _unpressed(packed: DataFrame) -> DataFrame:
 
 
 def pack(documents: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, place, offset (and the ids themselves)."""
-    packed = assign(cut(pieces(documents, tokenizer_path, window, end_id, id_col, text_col, with_ids)), window, depth)
+    """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, place (and the ids themselves)."""
+    packed = assign(keep(pieces(documents, tokenizer_path, window, end_id, id_col, text_col, with_ids)), window, depth)
     return _unpressed(packed) if with_ids else packed
 
 
 def pack_sequences(documents: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The packed sequences of the documents, as ``sequences`` gives them."""
-    return sequences(assign(cut(pieces(documents, tokenizer_path, window, end_id, id_col, text_col, with_ids=True)), window, depth), window, id_col, compressed=True)
+    return sequences(assign(keep(pieces(documents, tokenizer_path, window, end_id, id_col, text_col, with_ids=True)), window, depth), window, id_col, compressed=True)
 
 
 def sequences(packed: DataFrame, window: int = 2048, id_col: str = "doc_id", compressed: bool = False) -> DataFrame:
@@ -270,5 +271,5 @@ def read_back(made: DataFrame, id_col: str = "doc_id", with_sequences: bool = Fa
     """``pack``'s rows, each piece read from its place in its sequence of ``sequences``; ``with_sequences``: the row of a sequence's first piece has it as ``input_ids``, the others null."""
     rows = made.select("sequence_id", "input_ids", F.explode("pieces").alias("p"))
     ids = F.expr("substring(input_ids, int(4 * p.offset + 1), int(4 * p.length))")
-    columns = [F.col("p")[id_col].alias(id_col), F.col("p.start").alias("start"), F.col("p.length").alias("length"), F.crc32(ids).alias("ids_crc32"), F.col("p.doc_tokens").alias("doc_tokens"), F.col("sequence_id"), F.col("p.place").alias("place"), F.col("p.offset").alias("offset")]
+    columns = [F.col("p")[id_col].alias(id_col), F.col("p.start").alias("start"), F.col("p.length").alias("length"), F.crc32(ids).alias("ids_crc32"), F.col("p.doc_tokens").alias("doc_tokens"), F.col("sequence_id"), F.col("p.offset").alias("offset"), F.col("p.place").alias("place")]
     return rows.select(*columns, *([F.when(F.col("p.place") == 0, F.col("input_ids")).alias("input_ids")] if with_sequences else []))
