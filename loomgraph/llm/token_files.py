@@ -80,10 +80,6 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer_path: str, en
     width = np.dtype(np.uint16 if max(encoder(tokenizer_path).tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else np.uint32)
     rows = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(F.col("id"), F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
-    id_field = pa.field("id", pa.int64() if rows.schema["id"].dataType.typeName() in ("long", "integer", "short", "byte") else pa.string())
-
-    index_schema = pa.schema([id_field, ("start", pa.int64()), ("n_tokens", pa.int64())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path).encode
         writer, n_docs, n_ids = None, 0, 0
@@ -95,6 +91,7 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer_path: str, en
                 system.create_dir(path.rpartition("/")[0], recursive=True)
                 sink, index_sink = system.open_output_stream(path), system.open_output_stream(path.replace(".arrow", ".index.arrow"))
                 writer = _Writer(sink, length, width)
+                index_schema = pa.schema([("id", batch.schema.field("id").type), ("start", pa.int64()), ("n_tokens", pa.int64())])
                 index = pa.ipc.new_file(index_sink, index_schema)
             ids, ends = encode(texts_of(batch.column(1)))
             ends = ends + np.arange(len(ends))
@@ -103,7 +100,7 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer_path: str, en
             keep[ends[1:] - 1] = False
             with_end[keep] = ids
             writer.add(with_end)
-            index.write_batch(pa.RecordBatch.from_arrays([batch.column(0).cast(id_field.type), pa.array(n_ids + ends[:-1]), pa.array(np.diff(ends))], schema=index_schema))
+            index.write_batch(pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_ids + ends[:-1]), pa.array(np.diff(ends))], schema=index_schema))
             n_docs, n_ids = n_docs + batch.num_rows, n_ids + len(with_end)
         if writer is not None:
             writer.close()
@@ -151,7 +148,7 @@ class TokenFile:
 
 
 def read_token_files(files: DataFrame, id_col: str = "doc_id", id_type: str = "long") -> DataFrame:
-    """Per document (id_col, start, n_tokens, ids_crc32) as found in the files."""
+    """Per document (id_col, start, n_tokens, ids_crc32) as found in the files; ``id_type`` is the type that the ids had when written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +168,8 @@ def read_token_files(files: DataFrame, id_col: str = "doc_id", id_type: str = "l
     return per_file.mapInArrow(run, f"`{id_col}` {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
-def token_files(documents: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 2048) -> DataFrame:
+def token_files(documents: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes ``documents`` below the shared folder and reads the files back."""
     folder = shared_folder(documents.sparkSession, "tokens")
-    return read_token_files(write_token_files(documents, folder, tokenizer_path, end_id, length))
+    files = write_token_files(documents, folder, tokenizer_path, end_id, length, id_col, text_col)
+    return read_token_files(files, id_col, documents.schema[id_col].dataType.simpleString())
