@@ -1,16 +1,21 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 Test items and documents are normalised alike: A-Z are lower-cased and
-everything but digits, a-z and non-ASCII characters parts words.  Each item gives
-its windows of ``size`` consecutive words (all its words, if it has fewer); the
-automaton holds the windows as strings with blanks around the words, and one scan
-of a document's normalised text finds them all.  A match is a run of word numbers,
-and word numbers lead back to offsets in the original text.
+everything but digits, a-z and non-ASCII characters parts words.  A window is
+``size`` consecutive words of an item (all its words, if it has fewer).  Any window
+holds one of the blocks of half that many words into which its item falls, so the
+automaton holds these blocks, as strings with blanks around the words, and items of
+fewer words than a window whole: a tenth of the symbols that all windows have.  One
+scan of a document's normalised text finds them all; around a block the words of
+document and item are compared, and where they agree over a window or more, these
+are hit.  A match is a run of word numbers, and word numbers lead back to offsets in
+the original text.
 
 The benchmark is sent to the executors in blocks of at most ``BLOCK_BYTES`` of
-text, an automaton each.  A usual test set is one block; a larger one passes the
-documents through several scans in a row, so that no worker holds more than a
-block, whatever the benchmark's size.
+text, an automaton each, which a worker builds once (75 to 100 MB a MB of text).  A
+usual test set is one block; a larger one passes the documents through several scans
+in a row, so that no worker holds more than ``KEPT`` of them, whatever the
+benchmark's size.
 
 Defined results: null and wordless texts have no words, hits or items; null item
 ids are left out of the item list; repeated items and rows are each reported; an
@@ -19,6 +24,7 @@ empty benchmark contaminates nothing; extra columns are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .textscan import slices, utf8
 
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES, KEPT = 2_000_000, 2
 _NORMAL = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 
@@ -37,27 +43,26 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().translate(_NORMAL).split() if text else []
 
 
-def windows(own: list[bytes], size: int) -> list[bytes]:
-    return [b" " + b" ".join(own[i : i + size]) + b" " for i in range(max(1, len(own) - size + 1))] if own else []
-
-
 class Scanner:
     """The automaton over one block of (item id, text)."""
 
     def __init__(self, items: list[tuple[object, str | None]], size: int):
         import ahocorasick
 
-        found: dict[bytes, tuple[int, list[int]]] = {}
-        for k, (_, text) in enumerate(items):
-            own = words(text)
-            for w in windows(own, size):
-                n, holders = found.setdefault(w, (min(size, len(own)), []))
-                if not holders or holders[-1] != k:
-                    holders.append(k)
+        self.size, self.half = size, (size + 1) // 2
         self.ids = [i for i, _ in items]
+        same: dict[bytes, bytes] = {}  # one object a word
+        self.words = [[same.setdefault(w, w) for w in words(text)] for _, text in items]
+        found: dict[bytes, list[tuple[int, int]]] = {}
+        for k, own in enumerate(self.words):
+            if len(own) >= size:
+                for q in range(0, len(own) - self.half + 1, self.half):
+                    found.setdefault(b" " + b" ".join(own[q : q + self.half]) + b" ", []).append((k, q))
+            elif own:
+                found.setdefault(b" " + b" ".join(own) + b" ", []).append((k, 0))
         self.automaton = ahocorasick.Automaton()
-        for w, value in found.items():
-            self.automaton.add_word(w.decode("latin-1"), value)  # one character a byte
+        for w, holders in found.items():
+            self.automaton.add_word(w.decode("latin-1"), (w.count(b" ") - 1, holders))  # one character a byte
         self.empty = not found
         if found:
             self.automaton.make_automaton()
@@ -72,7 +77,41 @@ class Scanner:
             return [], set()
         blanks = np.flatnonzero(np.frombuffer(normal, np.uint8) == 0x20)
         upto = np.searchsorted(blanks, [end for end, _ in matches]).tolist()
-        return merged([(j - n, j) for j, (_, (n, _)) in zip(upto, matches, strict=True)]), {k for _, (_, holders) in matches for k in holders}
+        runs, held = [], set()
+        for end, (_, (n, holders)) in zip(upto, matches, strict=True):
+            for k, q in holders:
+                item = self.words[k]
+                if len(item) < self.size:
+                    if len(item) == n:
+                        runs.append((end - n, end))
+                        held.add(k)
+                elif n == self.half:
+                    # Windows reach size - n words beyond their block.
+                    a, most = end - n, min(self.size - n, end - n, q)
+                    before = 0
+                    while before < most and own[a - before - 1] == item[q - before - 1]:
+                        before += 1
+                    most = min(self.size - n, len(own) - end, len(item) - q - n)
+                    after = 0
+                    while after < most and own[end + after] == item[q + n + after]:
+                        after += 1
+                    if before + n + after >= self.size:
+                        runs.append((a - before, end + after))
+                        held.add(k)
+        return merged(runs), held
+
+
+#: The automata that this worker built last.
+_built: dict[tuple[str, int], Scanner] = {}
+
+
+def scanner(name: str, items: list[tuple[object, str | None]], size: int) -> Scanner:
+    """The automaton of a block, by its name, built once per worker."""
+    if (name, size) not in _built:
+        while len(_built) >= KEPT:
+            _built.pop(next(iter(_built)))
+        _built[name, size] = Scanner(items, size)
+    return _built[name, size]
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -117,19 +156,19 @@ def scan(documents: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str
         items = context.broadcast([(str(r[0]) if r[0] is not None else None, r[1]) for r in block.select(F.col(item_col), F.col(item_text_col)).collect()])  # at most BLOCK_BYTES
         last = number == len(blocks) - 1
 
-        def run(batches: Iterator[pa.RecordBatch], items=items, last=last) -> Iterator[pa.RecordBatch]:
-            scanner = Scanner(items.value, size)
+        def run(batches: Iterator[pa.RecordBatch], items=items, last=last, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            found_by = scanner(name, items.value, size)
             for batch in slices(batches):
                 n_words, runs, spans, found = [], batch.column(3).to_pylist(), [], batch.column(5).to_pylist()
                 raw, offs = utf8(batch.column(1))
                 raw = raw.tobytes().translate(_NORMAL)
                 for i in range(batch.num_rows):
                     own = raw[offs[i] : offs[i + 1]].split()
-                    hits, held = scanner.scan(own)
+                    hits, held = found_by.scan(own)
                     n_words.append(len(own))
                     if hits:
                         runs[i] = merged([*((r["start"], r["end"]) for r in runs[i]), *hits])
-                        found[i] = [*found[i], *(scanner.ids[k] for k in held if scanner.ids[k] is not None)]
+                        found[i] = [*found[i], *(found_by.ids[k] for k in held if found_by.ids[k] is not None)]
                     else:
                         runs[i] = [(r["start"], r["end"]) for r in runs[i]]
                     spans.append(char_spans(batch.column(1)[i].as_py(), runs[i]) if last and runs[i] else [])
@@ -164,10 +203,10 @@ def clean(documents: DataFrame, benchmark: DataFrame, size: int = 10, text_col:
     for block in _blocks(benchmark, item_col, item_text_col):
         items = context.broadcast([(str(r[0]) if r[0] is not None else None, r[1]) for r in block.select(F.col(item_col), F.col(item_text_col)).collect()])  # at most BLOCK_BYTES
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            scanner = Scanner(items.value, size)
+        def run(batches: Iterator[pa.RecordBatch], items=items, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            found_by = scanner(name, items.value, size)
             for batch in slices(batches, text_col):
-                yield batch.filter(pa.array([not scanner.scan(words(t))[0] for t in batch.column(at).to_pylist()]))
+                yield batch.filter(pa.array([not found_by.scan(words(t))[0] for t in batch.column(at).to_pylist()]))
 
         documents = documents.mapInArrow(run, fields)
     return documents
