@@ -1,6 +1,7 @@
 """Secrets, decontamination, quality rules, chats, classifier and licences against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -125,6 +126,19 @@ def test_contamination_against_plain_search(spark, monkeypatch, block):
             assert plain_words(source[span.start : span.end]) == plain_words(source)[run.start : run.end]
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 7, 10])
+def test_windows_of_any_size(size):
+    rnd = random.Random(size)
+    text = lambda n: " ".join(rnd.choice("ab") for _ in range(n))
+    items = [(k, text(rnd.choice([0, 1, size - 1, size, size + 1, 3 * size]))) for k in range(5)]
+    scanner = decontamination.Scanner(items, size)
+    for _ in range(40):
+        own = text(rnd.randint(0, 5 * size))
+        n, h, keys, hit = plain_hits(own, items, size)
+        runs, held = scanner.scan(decontamination.words(own))
+        assert {i for a, b in runs for i in range(a, b)} == hit and sorted(str(scanner.ids[k]) for k in held) == keys
+
+
 def test_contamination_of_odd_rows(spark, odd_documents, no_documents):
     none = spark.createDataFrame([], "item_id long, text string")
     assert odd_documents.count() == decontamination.contamination(odd_documents, none).where("NOT contaminated").count()
@@ -228,6 +242,44 @@ def test_chats(spark):
 # --- classifier ------------------------------------------------------------------------
 
 
+def test_training_is_the_proximal_update():
+    """``fit`` against a plain version: one dictionary entry a coordinate, one coordinate at a time."""
+    q, rnd = quality_classifier, random.Random(4)
+    examples = [(np.array([rnd.choice([3, 5, 9, 200, 4000 + 1000 * (i % 2)]) for _ in range(rnd.randint(0, 9))], np.uint32), i % 2) for i in range(30)]
+    z, n = {}, {}
+
+    def weight(k):
+        pull = z.get(k, 0.0)
+        return 0.0 if abs(pull) <= q.L1 else -(pull - math.copysign(q.L1, pull)) / ((q.BETA + math.sqrt(n.get(k, 0.0))) / q.ALPHA + q.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(q.EPOCHS):
+        for i in order.permutation(len(examples)):
+            buckets, label = examples[i][0].tolist(), examples[i][1]
+            x = {k: q.SCALE * buckets.count(k) / len(buckets) for k in buckets} | {1 << q.BITS: 1.0}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - label) * v
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / q.ALPHA * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    got = q.fit(examples)
+    assert np.flatnonzero(got).tolist() == sorted(k for k in z if weight(k)) and all(abs(got[k] - weight(k)) < 1e-5 for k in z)
+
+
+def test_scores_are_sparse_dot_products(spark):
+    q, rnd = quality_classifier, np.random.default_rng(5)
+    weights = rnd.normal(size=(1 << q.BITS) + 1).astype(np.float32)
+    texts = ["", "one two two!!", "a b a b, a", "x" * 500, "## ## é é é"]
+    docs = spark.createDataFrame([*enumerate(texts), (9, None)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in q.score(docs, weights).collect()}
+    for i, text in [*enumerate(texts), (9, "")]:
+        raw = text.encode()
+        own, _ = q.features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        z = float(weights[-1]) + sum(q.SCALE * own.tolist().count(k) / len(own) * float(weights[k]) for k in set(own.tolist()))
+        assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-6
+
+
 def test_features_are_those_of_each_text_alone():
     texts = ["", "one two two!!", "   ", "ünï code## 12", "", "x"]
     data = "".join(texts).encode()

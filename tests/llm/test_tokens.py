@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, packing, token_counts, token_files
 from loomgraph.llm.workspace import shared_folder
@@ -44,6 +45,17 @@ def test_encoder_forgets_and_goes_on(bpe_path, library, odd_texts, monkeypatch):
         assert ids.tolist() == [t for x in odd_texts[at : at + 40] for t in library.encode(x, add_special_tokens=False).ids]
 
 
+def test_encoder_tells_words_with_equal_hashes_apart(bpe_path, library, odd_texts):
+    """Rows whose hash is taken by another word are encoded anew."""
+    encoder = bpe.Encoder(bpe_path)
+    encoder.encode(odd_texts[:50])
+    size = encoder._points.n
+    encoder._hashes = np.sort(encoder._hashes)
+    encoder._old, encoder._new = (encoder._hashes, np.arange(size)[::-1].copy()), (np.empty(0, np.uint64), np.empty(0, np.int64))
+    ids, _ = encoder.encode(odd_texts[:80])
+    assert ids.tolist() == [t for x in odd_texts[:80] for t in library.encode(x, add_special_tokens=False).ids]
+
+
 def test_merger_counts_as_the_library(bpe_path, library, odd_texts):
     texts = odd_texts + ["a" * n for n in range(40)] + ["ab" * 500]
     assert token_counts.Counter(bpe_path).count(texts).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
@@ -80,6 +92,19 @@ def test_token_files_round_trip(spark, odd_documents, no_documents, bpe_path, li
     assert ids[mask].tolist() == reader.ids(0, int(mask.sum())).tolist()
 
 
+@pytest.mark.parametrize("kind", ["string", "int", "date"])
+def test_token_files_take_any_id(spark, bpe_path, library, kind):
+    texts = ["one", "two words", None, "four of them here"]
+    docs = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "n long, body string")
+    key = {"string": F.concat(F.lit("d"), F.col("n").cast("string")), "int": F.col("n").cast("int"), "date": F.date_add(F.lit("2020-01-01").cast("date"), F.col("n").cast("int"))}[kind]
+    got = token_files.token_files(docs.select(key.alias("name"), "body"), bpe_path, id_col="name", text_col="body")
+    assert got.columns == ["name", "start", "n_tokens", "ids_crc32"] and got.schema["name"].dataType.simpleString() == kind
+    rows = got.orderBy("name").collect()
+    assert [r.ids_crc32 for r in rows] == [crc(library.encode(t or "", add_special_tokens=False).ids + [2]) for t in texts]
+    with_null = docs.select(F.when(F.col("n") > 1, key).alias("name"), "body")
+    assert token_files.token_files(with_null, bpe_path, id_col="name", text_col="body").where("name IS NULL").count() == 1
+
+
 def test_compositions_fill_the_window():
     assert sorted(packing.compositions(6, 3)) == sorted({tuple(sorted((a, b, c), reverse=True)[: 3 - (a, b, c).count(0)]) for a in range(7) for b in range(7) for c in range(7) if a + b + c == 6})
 
