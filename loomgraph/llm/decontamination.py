@@ -12,7 +12,7 @@ are hit.  A match is a run of word numbers, and word numbers lead back to offset
 the original text.
 
 The benchmark is sent to the executors in blocks of at most ``BLOCK_BYTES`` of
-text, an automaton each, which a worker builds once (75 to 100 MB a MB of text).  A
+text, an automaton each, which a worker builds once (some 60 MB a MB of text).  A
 usual test set is one block; a larger one passes the documents through several scans
 in a row, so that no worker holds more than ``KEPT`` of them, whatever the
 benchmark's size.

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -372,3 +373,74 @@ def test_spdx_tags_are_licences(spark):
     tags = ["Apache-2.0", "MIT", "gpl-2.0-or-later", "GPL-3.0-only", "ISC", "(MIT OR Apache-2.0)", "GPL-2.0+ WITH Classpath-exception-2.0", "NONE"]
     got = plain_scan(spark, [f"/* SPDX-License-Identifier: {t} */\nint x;" for t in tags])
     assert [got[i][0] for i in range(len(tags))] == ["Apache-2.0", "MIT", "GPL-2.0", "GPL-3.0", "ISC", "(MIT OR Apache-2.0)", "GPL-2.0 WITH Classpath-exception-2.0", None]
+
+
+def plain_best(text, named, frequency, n_files):
+    """The best cosine of all statements of a text by plain vectors, and its licences."""
+    L = license_scan
+    idf = lambda w: math.log((1 + n_files) / (1 + frequency.get(w, 0))) + 1
+    vector = lambda ws: {w: ws.count(w) * idf(w) for w in set(ws)}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    templates = [(name, vector(L.tokens(t))) for name, t in L.TEMPLATES]
+    lines = text.split("\n")
+    at, hit = 0, set()
+    for k, line in enumerate(lines):
+        hit |= {k for m in L._SIGNAL.finditer(text.lower()) if m.start() < at + len(line) + 1 and m.end() > at}
+        at += len(line) + 1
+    words = [L.tokens(x) for x in lines]
+    full = [k for k, w in enumerate(words) if w]
+    statements = [[w for k in full for w in words[k]]] if named else []
+    for p in range(len(full)):
+        for q in range(p, len(full)):
+            own = full[p : q + 1]
+            alone = (p == 0 or full[p - 1] < full[p] - 1) and (q + 1 == len(full) or full[q + 1] > full[q] + 1) and own == list(range(own[0], own[-1] + 1))
+            if hit & set(own) and (p == q or alone or sum(len(words[k]) for k in own) <= L.REACH):
+                statements.append([w for k in own for w in words[k]])
+    best, names = 0.0, set()
+    for ws in statements:
+        v = vector(ws)
+        for name, t in templates:
+            score = sum(x * t.get(w, 0.0) for w, x in v.items()) / (norm(v) * norm(t) or 1)
+            if score > best + 1e-9:
+                best, names = score, set()
+            if score > best - 1e-9:
+                names.add(name)
+    return best, names
+
+
+def test_cosines_are_those_of_plain_vectors(spark):
+    rnd = random.Random(6)
+    pieces = [t for _, t in license_scan.TEMPLATES]
+    filler = "the of software and is to a in code under by with license copyright public int main return x".split()
+    files = []
+    for i in range(60):
+        words = rnd.choice(pieces).split() if rnd.random() < 0.7 else []
+        words = [w for w in words if rnd.random() < rnd.choice([1, 0.9, 0.6])][: rnd.choice([10, 40, 400])]
+        words = [rnd.choice(filler) for _ in range(rnd.randint(0, 25))] + words + [rnd.choice(filler) for _ in range(rnd.randint(0, 25))]
+        text, width = "", rnd.choice([4, 9, 60])
+        for k, w in enumerate(words):
+            text += w + (rnd.choice(["\n", "\n\n", "\n# "]) if k % width == width - 1 else " ")
+        files.append((i, f"d{i}/{rnd.choice(['LICENSE', 'x.py'])}", text))
+    frequency = {}
+    for _, _, t in files:
+        for w in set(license_scan.tokens(t)):
+            frequency[w] = frequency.get(w, 0) + 1
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(files, "doc_id long, path string, text string"), keys=("doc_id",)).collect()}
+    found = 0
+    for i, path, t in files:
+        best, names = plain_best(t, path.endswith("LICENSE"), frequency, len(files))
+        if best >= license_scan.MIN_COSINE:
+            found += 1
+            assert abs(got[i].cosine - best) < 1e-9 and got[i].declared in names, (t, best, names, got[i])
+        else:
+            assert got[i].declared is None, (t, best, names, got[i])
+    assert found > 20
+
+
+def test_whole_licences_and_styles(spark):
+    wrap = lambda t, n=70: "\n".join(textwrap.wrap(t, n))
+    files = [(k, f"d{k}/LICENSE", f"Copyright (c) 2021 Someone\n\n{wrap(t)}\n") for k, (_, t) in enumerate(license_scan.TEXTS)]
+    go = "// Copyright 2009 The Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n\npackage x\n"
+    filler = [(100 + k, f"e{k}/x.py", f"the of and to in a software is under by this that be can {k}") for k in range(60)]
+    rows = {r.doc_id: r.declared for r in license_scan.scan(spark.createDataFrame([*files, (99, "g/x.go", go), *filler], "doc_id long, path string, text string"), keys=("doc_id",)).collect()}
+    assert [rows[k] for k in range(len(files))] == [name for name, _ in license_scan.TEXTS] and rows[99] == "BSD-3-Clause"
