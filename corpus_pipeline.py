@@ -11,14 +11,12 @@ All but the last return the columns of ``documents``; ``n_chars`` follows the te
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import decontamination, ngram_join, packing, quality_rules, secrets
 from loomgraph.llm.queries import tokenizer_path
-from loomgraph.llm.workspace import shared_root
+from loomgraph.llm.workspace import forget, keep
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
@@ -63,10 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; each one's rows are written below the shared folder and read again."""
-    folder = f"{shared_root(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    """Applies the stages to ``documents``; each one's rows are written below the shared folder and read again, and go when the next one's are there."""
+    given, docs = None, spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        made = keep(stage(spark, docs, sf_dir))
+        if given is not None:
+            forget(given)
+        given = docs = made
     return docs
