@@ -56,7 +56,7 @@ from .textscan import mix64, ragged, slices, span_hash, utf8
 from .workspace import forget, keep
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
-BINS, DEPTH, SMALL, SAMPLE, MARGIN, SALTS = 128, 3, 200, 8, 4.5, 32
+BINS, DEPTH, SMALL, SAMPLE, MARKS, MARGIN, SALTS = 128, 3, 200, 8, 4, 4.5, 32
 #: Most classes and shingles, about, on either side of a comparison.
 BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 #: Rows of (path, two numbers) that are sent to all executors, 2.4 MB; more are joined by salted keys.
@@ -178,7 +178,7 @@ def _level_one(classes: DataFrame, runs: int) -> DataFrame:
 
 def _deeper(level: DataFrame, big: DataFrame, classes: DataFrame) -> DataFrame:
     """(parent, path, cid, shingles): the splits of the ``big`` buckets of the first level, whose parent is null, and the splits of those again."""
-    paths = _meet(level, big).groupBy("cid").agg(F.collect_list("path").alias("paths"))  # bounded by the runs and splits
+    paths = _meet(level, big, how="left_semi").groupBy("cid").agg(F.collect_list("path").alias("paths"))  # bounded by the runs and splits
     rows = paths.join(classes.select("cid", "shingles", "minima"), "cid").select("cid", "shingles", "minima", "paths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,50 +219,58 @@ def _meet(level: DataFrame, paths: DataFrame, key: str = "path", how: str = "inn
     return level.withColumn("salt", salt).join(salted, [key, "salt"], how).drop("salt")
 
 
-def _split_or_not(level: DataFrame, large: DataFrame, classes: DataFrame) -> DataFrame:
-    """(path, size, shingles, alike) of the large buckets; alike: splitting it would leave as many pairs."""
-    members = [F.min_by("cid", F.xxhash64("cid", F.lit(k))) for k in range(SAMPLE)]
-    drawn = _meet(level.select("path", "cid"), large.select("path", "size", "shingles")).groupBy("path", "size", "shingles").agg(F.array(*members).alias("drawn"))
-    drawn = keep(drawn.select("path", "size", "shingles", F.explode("drawn").alias("cid")))
-    few = drawn.limit(SENT + 1).count() <= SENT
-    told = classes.select("cid", "minima").join(F.broadcast(drawn) if few else drawn, "cid")
-    told = told.groupBy("path", "size", "shingles").agg(F.collect_list("minima").alias("minima"))  # SAMPLE of them
+def _drawn(level: DataFrame, large: DataFrame) -> DataFrame:
+    """(path, size, shingles, m0 ..., drawn) of the large buckets: the least hashes of their members, and as many members."""
+    hashed = [F.xxhash64("cid", F.lit(k)) for k in range(SAMPLE)]
+    least = [F.min(h).alias(f"m{k}") for k, h in enumerate(hashed[:MARKS])]
+    rows = _meet(level.select("path", "cid"), large.select("path"), how="left_semi")
+    told = rows.groupBy("path").agg(*least, F.array(*(F.min_by("cid", h) for h in hashed)).alias("drawn"))
+    return keep(told.join(large.select("path", "size", "shingles"), "path"))
+
+
+def _alike_ones(drawn: DataFrame, classes: DataFrame) -> DataFrame:
+    """(path, alike) of the large buckets; alike: splitting it would leave as many pairs."""
+    asked = drawn.select("path", F.explode("drawn").alias("cid"))
+    few = drawn.limit(SENT // SAMPLE + 1).count() <= SENT // SAMPLE
+    told = classes.select("cid", "minima").join(F.broadcast(asked) if few else asked, "cid")
+    told = told.groupBy("path").agg(F.collect_list("minima").alias("minima"))  # SAMPLE of them
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             alike = []
-            for own in batch.column(3).to_pylist():
+            for own in batch.column(1).to_pylist():
                 m = np.frombuffer(b"".join(own), np.uint32).reshape(-1, BINS)
                 a, b = np.triu_indices(len(m), 1)
                 used = np.maximum(((m[a] != _EMPTY) | (m[b] != _EMPTY)).sum(1), 1)
                 alike.append(bool((((m[a] == m[b]) & (m[a] != _EMPTY)).sum(1) / used).mean() >= SPLIT_AT))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(alike)], ["path", "size", "shingles", "alike"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(alike)], ["path", "alike"])
 
-    out = keep(told.mapInArrow(run, "path long, size long, shingles long, alike boolean"))
-    forget(drawn)
-    return out
+    return keep(told.mapInArrow(run, "path long, alike boolean"))
 
 
 def leaves_of(classes: DataFrame, runs: int) -> tuple[DataFrame, list[DataFrame]]:
     """(path, cid, size, shingles): the leaves of all runs, with the numbers of each leaf; and the tables that they are read from."""
-    level = keep(_level_one(classes, runs))
-    large = F.col("size") > SMALL
-    sizes = [_sizes(level)]
-    told = [_split_or_not(level, sizes[0].where(large), classes)]
-    deeper = keep(_deeper(level, told[0].where("NOT alike").select("path"), classes))
-    levels = [level, deeper.where("parent IS NULL").drop("parent")]
-    for _ in range(DEPTH - 2):
+    level, large = keep(_level_one(classes, runs)), F.col("size") > SMALL
+    levels, sizes, drawn, alike, deeper = [level], [], [], [], None
+    for depth in range(1, DEPTH + 1):
         sizes.append(_sizes(levels[-1]))
-        told.append(_split_or_not(levels[-1], sizes[-1].where(large), classes))
-        levels.append(keep(_meet(deeper.where("parent IS NOT NULL"), told[-1].where("NOT alike").select("path"), "parent", "left_semi").drop("parent")))
-    sizes.append(_sizes(levels[-1]))
+        drawn.append(_drawn(levels[-1], sizes[-1].where(large)))
+        if depth < DEPTH:
+            alike.append(_alike_ones(drawn[-1], classes))
+            split = alike[-1].where("NOT alike").select("path")
+            if depth == 1:
+                deeper = keep(_deeper(level, split, classes))
+                levels.append(deeper.where("parent IS NULL").drop("parent"))
+            else:
+                levels.append(keep(_meet(deeper.where("parent IS NOT NULL"), split, "parent", "left_semi").drop("parent")))
     every, found = _union(levels).select("path", "cid"), _union(sizes)
     # Small leaves, once each; rows of large buckets are left out before the others meet their leaves.
     small = found.where(~large).groupBy("size", "s", "x").agg(F.min("path").alias("path"), F.first("shingles").alias("shingles"))
     out = _meet(every, found.where(large).select("path"), how="left_anti").join(small.select("path", "size", "shingles"), "path")
-    unsplit = _union([*(t.where("alike").drop("alike") for t in told), sizes[-1].where(large).select("path", "size", "shingles")])
-    joined, names = _joined(every, unsplit)
-    return out.unionByName(joined), [level, deeper, *levels[2:], names, *sizes, *told]
+    unsplit = [d.join(a.where("alike"), "path", "left_semi") for d, a in zip(drawn, alike, strict=False)] + drawn[-1:]
+    names = keep(_joined(_union(unsplit)))
+    joined = _meet(every, names).select(F.col("to.path").alias("path"), "cid", F.col("to.size").alias("size"), F.col("to.shingles").alias("shingles"))
+    return out.unionByName(joined), [level, deeper, *levels[2:], names, *sizes, *drawn, *alike]
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -272,20 +280,18 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _joined(rows: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of the large leaves, those that share most members under the path of the largest of them; and the table of these paths.
+def _joined(large: DataFrame) -> DataFrame:
+    """(path, to: path, size, shingles) of the large leaves; those that share most members go to the largest of them.
 
     Leaves that have the least hash of their members in common, and so a class, go
     together if two of three other least hashes agree as well.
     """
-    marks = [F.min(F.xxhash64("cid", F.lit(k))).alias(f"m{k}") for k in range(4)]
-    told = _meet(rows, large).groupBy("path", "size", "shingles").agg(*marks)
-    first = F.first(F.struct("path", "size", "shingles", "m1", "m2", "m3")).over(Window.partitionBy("m0").orderBy(F.desc("size"), "path"))
-    agree = sum((F.col(f"m{k}") == F.col(f"first.m{k}")).cast("int") for k in (1, 2, 3))
-    own = F.struct("path", "size", "shingles")
-    target = F.when(agree >= 2, F.struct("first.path", "first.size", "first.shingles")).otherwise(own)
-    names = keep(told.withColumn("first", first).select("path", target.alias("to")))
-    return _meet(rows, names).select(F.col("to.path").alias("path"), "cid", F.col("to.size").alias("size"), F.col("to.shingles").alias("shingles")), names
+    numbers = ["path", "size", "shingles"]
+    marks = [f"m{k}" for k in range(MARKS)]
+    first = F.first(F.struct(*numbers, *marks[1:])).over(Window.partitionBy(marks[0]).orderBy(F.desc("size"), "path"))
+    agree = sum((F.col(m) == F.col(f"first.{m}")).cast("int") for m in marks[1:])
+    to = F.when(agree >= 2, F.struct(*(F.col(f"first.{c}").alias(c) for c in numbers))).otherwise(F.struct(*numbers))
+    return large.withColumn("first", first).select("path", to.alias("to"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.RecordBatch]:
