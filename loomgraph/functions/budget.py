@@ -13,6 +13,7 @@ MAX_EDGES = 100_000
 MAX_TERMS = 64
 MAX_ITERATIONS = 1_000
 MAX_NODE_LINES = 2_000
+MAX_NODE_CHARS = 64_000
 MAX_RELATIONSHIPS = 8
 MAX_FILES = 1_000
 

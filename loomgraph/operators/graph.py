@@ -6,7 +6,9 @@ provenance, evidence_file, evidence_line, evidence_site.
 
 Traversals go level by level: one join of the edges with the frontier a level.
 The frontier is never larger than the node limit (checked each level), which is
-what allows it to be broadcast, so the edge table is scanned, not shuffled.
+what allows it to be broadcast, so the edge table is scanned, not shuffled.  A
+level is never cut: its edges are counted whole, and one that breaks the edge limit
+is an error before anything is answered from it.
 """
 
 from __future__ import annotations
@@ -71,13 +73,16 @@ def impact(symbols: DataFrame, relationships: DataFrame, symbol: str, file: str
     frontier = cut(roots.select("id", F.row_number().over(order).cast("long").alias("disc")))  # bounded by the lookup
     visited, out, examined, found = frontier.select("id"), None, 0, 0
     start = frontier.count()
+    edges = _edges(relationships, ["calls"], incoming=True)
     for depth in range(1, max_depth + 1):
         if not start:
             break
-        step, n_edges, n_new = _level(symbols, relationships, frontier, visited, ["calls"], incoming=True, start=start)
-        examined, found = examined + n_edges, found + n_new
+        near, n_edges = _near(symbols, edges, frontier)
+        examined += n_edges
         if examined > budget.MAX_EDGES:
             raise budget.BudgetError(f"impact traversal exceeded the {budget.MAX_EDGES}-edge work limit")
+        step, n_new = _first(near, visited, start)
+        found += n_new
         if found > budget.MAX_NODES:
             raise budget.BudgetError(f"impact traversal exceeded the {budget.MAX_NODES}-node work limit")
         step = step.withColumn("depth", F.lit(depth))
@@ -85,27 +90,42 @@ def impact(symbols: DataFrame, relationships: DataFrame, symbol: str, file: str
         frontier, visited = step.select("id", "disc"), visited.union(step.select("id"))
         start = start + n_new if n_new else 0
     if out is None:
-        empty, _, _ = _level(symbols, relationships, frontier, visited, ["calls"], incoming=True, start=0)
-        out = empty.limit(0).withColumn("depth", F.lit(0))
+        out = _first(_near(symbols, edges, frontier)[0], visited, 0)[0].withColumn("depth", F.lit(0))
     return out.orderBy("disc")
 
 
-def _level(symbols: DataFrame, relationships: DataFrame, frontier: DataFrame, visited: DataFrame, kinds: list[str], incoming: bool, start: int) -> tuple[DataFrame, int, int]:
-    """New symbols next to the frontier, each by its first discovery, numbered on from ``start``; edges examined, symbols found."""
-    own, other = ("target_id", "source_id") if incoming else ("source_id", "target_id")
+def _rank(kinds: list[str]) -> Column:
     rank = F.lit(len(kinds))
     for k in reversed(range(len(kinds))):
         rank = F.when(F.col("relationship") == kinds[k], k).otherwise(rank)
+    return rank
+
+
+def _edges(relationships: DataFrame, kinds: list[str], incoming: bool) -> DataFrame:
+    own, other = ("target_id", "source_id") if incoming else ("source_id", "target_id")
     edges = relationships.where(F.col("kind").isin(*kinds)).select(F.col(own).alias("origin_id"), F.col(other).alias("id"), F.col("kind").alias("relationship"), *EVIDENCE)
-    near = edges.join(F.broadcast(frontier.select(F.col("id").alias("origin_id"), F.col("disc").alias("origin_disc"))), "origin_id")
-    near = near.join(symbols, "id").withColumn("kind_rank", rank)
-    near = cut(near.limit(budget.MAX_EDGES + 1))  # one more than any level may have
+    return edges.withColumn("kind_rank", _rank(kinds))
+
+
+def _near(symbols: DataFrame, edges: DataFrame, frontier: DataFrame) -> tuple[DataFrame, int]:
+    """The edges next to the frontier, with the symbols at their other ends, all of them; and how many, or one more than the edge limit.
+
+    The frontier has at most ``MAX_NODES`` rows, which its maker has checked.
+    """
+    at = edges.join(F.broadcast(frontier.select(F.col("id").alias("origin_id"), F.col("disc").alias("origin_disc"))), "origin_id")
+    near = at.join(symbols, "id")
+    some = cut(near.limit(budget.MAX_EDGES + 1))
+    n = some.count()
+    return (some if n <= budget.MAX_EDGES else near), n
+
+
+def _first(near: DataFrame, visited: DataFrame, start: int) -> tuple[DataFrame, int]:
+    """New symbols, each by its first discovery, numbered on from ``start``, and how many; ``near`` is within the edge limit."""
     order = [F.asc("origin_disc"), F.asc("kind_rank"), *_edge_order()]
-    fresh = near.join(F.broadcast(visited), "id", "left_anti")
+    fresh = near.join(visited, "id", "left_anti")
     first = fresh.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where("nth = 1").drop("nth")
-    first = first.withColumn("disc", F.row_number().over(Window.orderBy(*order)) + F.lit(start).cast("long"))  # at most the node limit
-    first = cut(first)
-    return first, near.count(), first.count()
+    first = cut(first.withColumn("disc", F.row_number().over(Window.orderBy(*order)) + F.lit(start).cast("long")))
+    return first, first.count()
 
 
 @dataclass
@@ -133,28 +153,29 @@ def trace(symbols: DataFrame, relationships: DataFrame, source: str, target: str
     spark = symbols.sparkSession
     frontier = spark.createDataFrame([(origin, 1)], "id string, disc long")
     visited, steps, nodes, edges = frontier.select("id"), [], 1, 0
+    every = _edges(relationships, list(KINDS), incoming=False)
+    order = [F.asc("origin_disc"), F.asc("kind_rank"), *_edge_order()]
     for _ in range(max_depth):
-        step, n_edges, n_new = _level(symbols, relationships, frontier, visited, list(KINDS), incoming=False, start=nodes)
-        if n_edges > budget.MAX_EDGES:  # the level is cut anywhere, so a hit need not be the first discovery
-            raise budget.BudgetError("path trace exceeded its work limit")
-        hit = step.where(F.col("id") == goal).first()
-        steps.append(step)
+        near, n_edges = _near(symbols, every, frontier)
+        hit = near.where(F.col("id") == goal).orderBy(*order).first()
         if hit:
-            # The search stops at the hit: later discoveries and edge groups of this level are not counted.
-            own, other = "source_id", "target_id"
-            rank = F.lit(len(KINDS))
-            for k in reversed(range(len(KINDS))):
-                rank = F.when(F.col("kind") == KINDS[k], k).otherwise(rank)
-            seen = relationships.join(F.broadcast(frontier.select(F.col("id").alias(own), F.col("disc").alias("origin_disc"))), own).join(symbols.select(F.col("id").alias(other)), other).withColumn("kind_rank", rank)
+            # The search stops at the hit: later edge groups of this level are not examined.
             at = (F.col("origin_disc") < hit["origin_disc"]) | ((F.col("origin_disc") == hit["origin_disc"]) & (F.col("kind_rank") <= hit["kind_rank"]))
-            edges += seen.where(at).count()
+            near = near.where(at)
+            n_edges = near.count()
+        if edges + n_edges > budget.MAX_EDGES:
+            raise budget.BudgetError("path trace exceeded its work limit")
+        step, n_new = _first(near, visited, nodes)
+        if hit:
+            hit = step.where(F.col("id") == goal).first()
             path, row = [hit], hit
-            for level in reversed(steps[:-1]):
+            for level in reversed(steps):
                 row = level.where(F.col("id") == row["origin_id"]).first()
                 path.append(row)
-            return Trace("found", path[::-1], hit["disc"], edges)
+            return Trace("found", path[::-1], hit["disc"], edges + n_edges)
+        steps.append(step)
         nodes, edges = nodes + n_new, edges + n_edges
-        if edges > budget.MAX_EDGES or nodes > budget.MAX_NODES:
+        if nodes > budget.MAX_NODES:
             raise budget.BudgetError("path trace exceeded its work limit")
         if not n_new:
             break
@@ -179,18 +200,17 @@ def symbols_in_file(symbols: DataFrame, file: str) -> DataFrame:
 
 
 def first_files(hits: DataFrame, order: list[Column], max_files: int, file_col: str = "file") -> DataFrame:
-    """Hits of the first ``max_files`` distinct files, in order; more hits of a file that is in stay in."""
-    number = F.row_number().over(Window.orderBy(*order))  # hits are bounded by the candidate limit
-    seen = hits.withColumn("nth", number)
-    seen = seen.withColumn("first", F.min("nth").over(Window.partitionBy(file_col)))
-    seen = seen.withColumn("file_no", F.dense_rank().over(Window.orderBy("first")))
-    return seen.where(F.col("file_no") <= max_files).drop("first")
+    """Hits of the first ``max_files`` distinct files, in order, with their file's number; more hits of a file that is in stay in."""
+    best = hits.withColumn("__nth", F.row_number().over(Window.partitionBy(file_col).orderBy(*order))).where("__nth = 1")
+    best = best.orderBy(*order).limit(max_files)  # a bounded number of rows from here on
+    first = best.select(F.col(file_col), F.row_number().over(Window.orderBy(*order)).alias("file_no"))
+    return hits.join(F.broadcast(first), file_col).select(*hits.columns, "file_no")
 
 
 def explore(symbols: DataFrame, relationships: DataFrame, hits: DataFrame, max_files: int) -> tuple[DataFrame, DataFrame]:
     """Search hits within the file budget, and up to 8 relationships a hit for each of callers, callees, references and referenced_by; ``truncated`` tells where there are more."""
     kept = first_files(hits, [F.desc("score"), F.asc("qualified_name"), F.asc("file"), F.asc("id")], max_files)
-    ids = kept.select(F.col("id").alias("origin_id"))
+    ids = kept.select(F.col("id").alias("origin_id"))  # hits are within the candidate limit
     parts = []
     for name, kind, incoming in (("callers", "calls", True), ("callees", "calls", False), ("referenced_by", "references", True), ("references", "references", False)):
         parts.append(related(symbols, relationships, F.broadcast(ids), incoming, kind).withColumn("direction", F.lit(name)))

@@ -1,8 +1,9 @@
 """Resolution of unresolved observations into relationships with evidence.
 
 All operators are joins on equal keys, followed by ranks and counts over the
-observation; none pairs rows by name alone without a bound: where only the best
-few candidates matter, candidates are counted per name before they are paired.
+observation.  Names can be common (``get``, ``run``), and an observation with more
+candidates than its fan-out limit has no answer: so candidates are counted per name
+and place first (``counted``), and only observations within the limit are paired.
 
 ``symbols``: id, language, kind, name, qualified_name, file, start_line, ...
 ``calls``: call_id, file, caller_id, fallback_caller_id, callee_name,
@@ -58,10 +59,14 @@ def upsert_edges(parts: list[DataFrame]) -> DataFrame:
     return numbered.groupBy(*EDGE_KEY).agg(last).select(*EDGE_KEY, "__last.confidence", "__last.explanation").select(*EDGE)
 
 
+def _plain_hint(hint: Column) -> Column:
+    return F.regexp_replace(F.replace(F.trim(hint), F.lit("\\"), F.lit("/")), "^['\"]+|['\"]+$", "")
+
+
 def hint_matches(hint: Column, file: Column) -> Column:
     """Whether a module hint names a file: the path, its stem, a folder above the stem, or its tail.  A hint that is still relative names none."""
-    plain = F.regexp_replace(F.replace(F.trim(hint), F.lit("\\"), F.lit("/")), "^['\"]+|['\"]+$", "")
-    stem = F.regexp_replace(file, r"\.[^.]*$", "")
+    plain = _plain_hint(hint)
+    stem = _without_extension(file)
     tail = F.concat(F.lit("/"), plain)
     found = (file == plain) | (stem == plain) | stem.startswith(F.concat(plain, F.lit("/"))) | stem.endswith(tail) | stem.endswith(F.concat(tail, F.lit("/index")))
     return ~plain.rlike(r"^\.\.?/") & found
@@ -77,18 +82,60 @@ def _count_over(*keys: str) -> Column:
     return F.count("*").over(Window.partitionBy(*keys))
 
 
+def _without_extension(file: Column) -> Column:
+    return F.regexp_replace(file, r"\.[^.]*$", "")
+
+
+def _tails(parts: Column) -> Column:
+    """Every run of path parts that ends with the last one and doesn't start with the first."""
+    n = F.size(parts)
+    return F.when(n > 1, F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: F.array_join(F.slice(parts, i, n), "/"))).otherwise(F.array().cast("array<string>"))
+
+
+def place_keys(file: Column) -> Column:
+    """All module hints that ``hint_matches`` would let name the file, with a mark before each, and the empty key for no hint."""
+    stem = _without_extension(file)
+    parts = F.split(stem, "/")
+    n = F.size(parts)
+    above = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).otherwise(F.array().cast("array<string>"))
+    index = F.when(F.element_at(parts, -1) == "index", _tails(F.slice(parts, 1, F.greatest(n - 1, F.lit(0))))).otherwise(F.array().cast("array<string>"))
+    keys = F.array_distinct(F.concat(F.array(file, stem), above, _tails(parts), index))
+    return F.concat(F.array(F.lit("")), F.transform(F.filter(keys, lambda k: k != ""), lambda k: F.concat(F.lit("@"), k)))
+
+
+def hint_key(hint: Column) -> Column:
+    """The key among ``place_keys`` that a hint asks for; null for one that is still relative and so names no file."""
+    plain = _plain_hint(hint)
+    return F.when(F.coalesce(hint, F.lit("")) == "", F.lit("")).when(~plain.rlike(r"^\.\.?/"), F.concat(F.lit("@"), plain))
+
+
+def counted(asked: DataFrame, target: DataFrame, on: list[str], most: int, fits: Column, spare: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Pairs of distinct ``asked`` rows and ``target`` rows that are equal ``on`` columns and fit, for those asked rows with
+    at most ``most + spare`` of them; and (of those with more) the asked rows themselves.
+
+    ``spare`` allows for candidates that drop out afterwards, such as the source itself.  ``fits`` may use columns of
+    ``asked`` and ``target_language``; targets are counted per key and language before anything is paired.
+    """
+    sums = target.join(asked.select(*on).distinct(), on, "left_semi").groupBy(*on, "target_language").agg(F.count("*").alias("__n"))
+    whole = asked.join(sums, on).where(fits).groupBy(*asked.columns).agg(F.sum("__n").alias("__n"))
+    whole = cut(whole)
+    few = whole.where(F.col("__n") <= most + spare).drop("__n")
+    return few.join(target, on).where(fits), whole.where(F.col("__n") > most + spare).drop("__n")
+
+
 def resolve_imports(references: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges and bindings (file, binding_name, target_id, confidence) of import references: up to 8 matches, 0.55 at most where there are several."""
     own = references.where("kind = 'imports' AND coalesce(target_file_hint, '') <> 'framework/arkui-entry'")
     source = symbols.select(F.col("id").alias("source_id"), F.col("language").alias("source_language"))
-    target = symbols.select(F.col("name").alias("target_name"), F.col("id").alias("target_id"), F.col("language").alias("target_language"), F.col("file").alias("target_file"), F.col("qualified_name").alias("target_qualified"))
-    hint = F.coalesce("target_file_hint", F.lit(""))
-    rows = own.join(source, "source_id").join(target, "target_name").where((F.col("source_id") != F.col("target_id")) & compatible(F.col("source_language"), F.col("target_language")))
-    rows = rows.where((hint == "") | hint_matches(hint, F.col("target_file")))
+    target = symbols.select(F.col("name").alias("target_name"), F.col("id").alias("target_id"), F.col("language").alias("target_language"), F.explode(place_keys(F.col("file"))).alias("place"), F.col("qualified_name").alias("target_qualified"))
+    named = own.join(source, "source_id").withColumn("place", hint_key(F.col("target_file_hint"))).where("place IS NOT NULL")
+    asked = named.select("target_name", "place", "source_language").distinct()
+    found, _ = counted(asked, target, ["target_name", "place"], REFERENCE_FANOUT, compatible(F.col("source_language"), F.col("target_language")))
+    rows = named.join(found.drop("target_language"), ["target_name", "place", "source_language"]).where(F.col("source_id") != F.col("target_id"))
     rows = rows.withColumn("n", _count_over("ref_id")).where(F.col("n") <= REFERENCE_FANOUT)
     confidence = F.when(F.col("n") == 1, F.col("confidence")).otherwise(F.least("confidence", F.lit(0.55)))
     bindings = rows.groupBy("file", "binding_name", "target_id").agg(F.max(confidence).alias("confidence"))
-    return edges(rows, "imports", F.col("provenance"), confidence, F.concat("explanation", F.lit("; resolves to "), "target_qualified")), bindings
+    return edges(rows, "imports", F.col("provenance"), confidence, F.concat("explanation", F.lit(" -> "), "target_qualified")), bindings
 
 
 def resolve_heritage(references: DataFrame, symbols: DataFrame, bindings: DataFrame) -> DataFrame:
@@ -107,7 +154,7 @@ def resolve_heritage(references: DataFrame, symbols: DataFrame, bindings: DataFr
     best = rows.withColumn("best", F.min("tier").over(Window.partitionBy("ref_id"))).where("tier = best")
     best = best.withColumn("n", _count_over("ref_id")).where((F.col("n") <= REFERENCE_FANOUT) & ((F.col("tier") < 2) | (F.col("n") == 1)))
     confidence = F.when(F.col("n") == 1, F.col("confidence")).otherwise(F.least("confidence", F.lit(0.55)))
-    return edges(best, F.col("kind"), F.col("provenance"), confidence, F.concat("explanation", F.lit("; resolves to "), "target_qualified"))
+    return edges(best, F.col("kind"), F.col("provenance"), confidence, F.concat("explanation", F.lit(" -> "), "target_qualified"))
 
 
 def resolve_function_references(references: DataFrame, symbols: DataFrame, bindings: DataFrame) -> DataFrame:
@@ -116,14 +163,19 @@ def resolve_function_references(references: DataFrame, symbols: DataFrame, bindi
     source = symbols.select(F.col("id").alias("source_id"), F.col("language").alias("source_language"))
     target = symbols.where(F.col("kind").isin(*CALLABLE)).select(F.col("name").alias("target_name"), F.col("id").alias("target_id"), F.col("language").alias("target_language"), F.col("file").alias("target_file"), F.col("qualified_name").alias("target_qualified"))
     asked = own.join(source, "source_id")
+    fits = compatible(F.col("source_language"), F.col("target_language"))
+    local = asked.join(target.withColumn("file", F.col("target_file")), ["target_name", "file"]).where(fits).withColumn("rank", F.lit(0))
     by_name = bindings.select("file", F.col("binding_name").alias("target_name"), "target_id").distinct()
     imported = asked.join(by_name, ["file", "target_name"]).join(target.drop("target_name"), "target_id").withColumn("rank", F.lit(1))
-    named = asked.join(target, "target_name").where(compatible(F.col("source_language"), F.col("target_language")))
-    named = named.withColumn("rank", F.when(F.col("target_file") == F.col("file"), 0).otherwise(2))
-    rows = named.unionByName(imported).where("source_id <> target_id")
+    near = local.unionByName(imported).where("source_id <> target_id")
+    # Elsewhere only a name with one symbol answers (two, should the source be one of them).
+    far = asked.join(near.select("ref_id").distinct(), "ref_id", "left_anti")
+    pairs, _ = counted(far.select("target_name", "source_language").distinct(), target, ["target_name"], 1, fits)
+    elsewhere = far.join(pairs, ["target_name", "source_language"]).where("source_id <> target_id").withColumn("rank", F.lit(2))
+    rows = near.unionByName(elsewhere, allowMissingColumns=True)
     rows = rows.groupBy("ref_id", "target_id").agg(F.min("rank").alias("rank"), *(F.first(c).alias(c) for c in ("source_id", "provenance", "confidence", "explanation", "evidence_file", "evidence_line", "target_qualified")))
     best = rows.withColumn("best", F.min("rank").over(Window.partitionBy("ref_id"))).where("rank = best").withColumn("n", _count_over("ref_id")).where("n = 1")
-    return edges(best, "references", F.col("provenance"), F.col("confidence"), F.concat("explanation", F.lit("; resolves to "), "target_qualified"))
+    return edges(best, "references", F.col("provenance"), F.col("confidence"), F.concat("explanation", F.lit(" -> "), "target_qualified"))
 
 
 def _nominal(calls: DataFrame, symbols: DataFrame, bindings: DataFrame) -> DataFrame:
@@ -190,17 +242,17 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, bindings: DataFrame, her
         targets = targets.unionByName(_resolve(again, symbols, bindings, heritage, one_only=True))
     # Where an inline callback stands between, the edge waits for its owner.
     direct = targets.where("fallback_caller_id IS NULL")
-    clear = F.concat("explanation", F.lit("; target resolves to "), "target_qualified", F.lit(" through "), "scope")
-    vague = F.concat("explanation", F.lit("; "), "scope", F.lit(" has multiple candidates; "), "target_qualified", F.lit(" is a possible target"))
+    clear = F.concat("explanation", F.lit(" -> "), "target_qualified", F.lit(" ("), "scope", F.lit(")"))
+    vague = F.concat("explanation", F.lit(" -> maybe "), "target_qualified", F.lit(" (one of several, "), "scope", F.lit(")"))
     made = edges(direct, "calls", F.col("provenance"), F.col("confidence"), F.when(F.col("confidence") >= 0.75, clear).otherwise(vague))
-    return made, targets.select("call_id", "source_id", "fallback_caller_id", "target_id", "target_qualified", "confidence", "scope", "explanation", "provenance", "evidence_file", "evidence_line")
+    return made, targets.select("call_id", "file", "start_byte", "source_id", "fallback_caller_id", "target_id", "target_qualified", "confidence", "scope", "explanation", "provenance", "evidence_file", "evidence_line")
 
 
 def deferred_inline(targets: DataFrame, inline: DataFrame) -> DataFrame:
     """Edges of calls inside inline callbacks: from the callback where it became a symbol (``inline``: id), else from the function around it."""
     rows = targets.where("fallback_caller_id IS NOT NULL").join(inline.select(F.col("id").alias("source_id"), F.lit(True).alias("made")), "source_id", "left")
     rows = rows.withColumn("source_id", F.when(F.col("made"), F.col("source_id")).otherwise(F.col("fallback_caller_id")))
-    return edges(rows, "calls", F.col("provenance"), F.col("confidence"), F.concat("explanation", F.lit("; target resolves to "), "target_qualified", F.lit(" through "), "scope"))
+    return edges(rows, "calls", F.col("provenance"), F.col("confidence"), F.concat("explanation", F.lit(" -> "), "target_qualified", F.lit(" ("), "scope", F.lit(")")))
 
 
 def _infer_receivers(calls: DataFrame, symbols: DataFrame, bindings: DataFrame) -> DataFrame:
@@ -227,7 +279,7 @@ def _from_results(calls: DataFrame, targets: DataFrame, returns: DataFrame, symb
         F.col("t_name").alias("receiver_type"),
         F.col("t_file").alias("target_file_hint"),
         F.least("inferred", "f_confidence", "t_confidence").alias("inferred"),
-        F.concat(F.lit("; receiver resolves from "), "f_name", F.lit("'s explicit return annotation after the factory resolved through "), "f_scope").alias("via"),
+        F.concat(F.lit("; on what "), "f_name", F.lit(" declares to return ("), "f_scope", F.lit(")")).alias("via"),
     )
 
 
@@ -240,25 +292,36 @@ def _resolve(calls: DataFrame, symbols: DataFrame, bindings: DataFrame, heritage
     asked = cut(asked.join(_nominal(asked, symbols, bindings), "sig", "left").withColumn("receiver_state", F.coalesce("receiver_state", F.lit("none"))))
     pick = ["sig", "target_id", "target_qualified", "rank"]
     own = F.concat_ws(".", "receiver_type", "callee_name")
-    scoped = (F.col("receiver_type") == "") | (F.col("target_qualified") == own) | F.col("target_qualified").endswith(F.concat(F.lit("."), own))
-    hinted = (F.col("target_file_hint") == "") | hint_matches(F.col("target_file_hint"), F.col("target_file"))
     # 0: members of the receiver's own type, or by hint and qualified name
     parents = symbols.select(F.col("id").alias("receiver_id"), F.col("file").alias("target_file"), F.col("qualified_name").alias("r_qualified"))
     members = target.withColumn("r_qualified", F.regexp_extract("target_qualified", r"^(.*)\.[^.]*$", 1)).join(parents, ["target_file", "r_qualified"])
     exact = asked.where("receiver_state = 'unique'").join(members.select("receiver_id", "callee_name", "language", "target_id", "target_qualified"), ["receiver_id", "callee_name", "language"])
     exact = exact.withColumn("n", _count_over("sig"))
     twice = exact.where("n > 1").select("sig").distinct().withColumn("twice", F.lit(True))
-    loose = asked.where("receiver_state <> 'ambiguous' AND (target_file_hint <> '' OR receiver_type <> '')").join(target, ["callee_name", "language"]).where(hinted & scoped)
-    loose = loose.join(exact.select("sig").distinct(), "sig", "left_anti")
+    open_ = asked.where("receiver_state <> 'ambiguous' AND (target_file_hint <> '' OR receiver_type <> '')").join(exact.select("sig").distinct(), "sig", "left_anti")
+    # The place and the owner that a signature asks for are part of the key, so that common names meet few symbols.
+    typed = F.when(F.col("receiver_type") == "", F.lit("")).otherwise(own)
+    open_ = open_.select("sig", "callee_name", "language", hint_key(F.col("target_file_hint")).alias("place"), typed.alias("owned")).where("place IS NOT NULL")
+    shapes = open_.select("callee_name", "language", F.col("place") != "", F.col("owned") != "").toDF("callee_name", "language", "placed", "typed").distinct()
+    keyed = target.join(shapes, ["callee_name", "language"]).withColumnRenamed("language", "target_language")
+    named = F.split("target_qualified", r"\.")
+    owners = F.filter(F.transform(F.concat(F.array("target_qualified"), F.transform(_tails(named), lambda x: F.replace(x, F.lit("/"), F.lit(".")))), lambda x: x), lambda x: F.instr(x, ".") > 0)
+    keyed = keyed.withColumn("place", F.explode(F.when(F.col("placed"), F.filter(place_keys(F.col("target_file")), lambda k: k != "")).otherwise(F.array(F.lit("")))))
+    keyed = keyed.withColumn("owned", F.explode(F.when(F.col("typed"), owners).otherwise(F.array(F.lit("")))))
+    keys = ["callee_name", "place", "owned"]
+    found, many = counted(open_.select(*keys, "language").distinct(), keyed.select(*keys, "target_language", "target_id", "target_qualified"), keys, CALL_FANOUT, F.col("language") == F.col("target_language"), spare=0)
+    loose = open_.join(found.drop("target_language"), [*keys, "language"])
+    too_many = open_.join(many, [*keys, "language"], "left_semi").select("sig")
     tiers = [cut(exact.where("n = 1").withColumn("rank", F.lit(0)).select(*pick).union(loose.withColumn("rank", F.lit(0)).select(*pick)))]
+    settled = tiers[0].select("sig").union(too_many).distinct()
     # 5: nearest inherited member
-    open_ = asked.where("receiver_state = 'unique'").join(tiers[0].select("sig").distinct(), "sig", "left_anti").join(twice, "sig", "left_anti")
+    open_ = asked.where("receiver_state = 'unique'").join(settled, "sig", "left_anti").join(twice, "sig", "left_anti")
     methods = members.select(F.col("receiver_id").alias("type_id"), F.col("callee_name").alias("name"), F.col("target_id").alias("member_id"))
     inherited = inherited_members(open_.select(F.col("receiver_id").alias("type_id"), F.col("callee_name").alias("name")), heritage, methods)
     inherited = open_.join(inherited.where("state = 'unique'").select(F.col("type_id").alias("receiver_id"), F.col("name").alias("callee_name"), F.col("member_id").alias("target_id")), ["receiver_id", "callee_name"])
     tiers.append(inherited.join(target.select("target_id", "target_qualified"), "target_id").withColumn("rank", F.lit(5)).select(*pick))
     # 1, 2, 4: only without a known receiver
-    free = asked.where("receiver_state = 'none'").join(tiers[0].select("sig").distinct(), "sig", "left_anti")
+    free = asked.where("receiver_state = 'none'").join(settled, "sig", "left_anti")
     local = free.join(target.withColumn("file", F.col("target_file")), ["callee_name", "language", "file"]).withColumn("rank", F.lit(1)).select(*pick)
     local = cut(local)
     free = free.join(local.select("sig").distinct(), "sig", "left_anti")
@@ -274,7 +337,7 @@ def _resolve(calls: DataFrame, symbols: DataFrame, bindings: DataFrame, heritage
     rows = calls.join(found, "sig")
     alone = F.col("n") == 1
     sure = F.when(alone, F.element_at(F.create_map(*(F.lit(x) for kv in ((0, 0.995), (1, 0.99), (2, 0.97), (4, 0.75), (5, 0.97)) for x in kv)), F.col("rank"))).when(F.col("rank") <= 2, 0.65).otherwise(0.35)
-    scope = F.when(F.col("rank") == 0, F.when(F.col("target_file_hint") != "", "imported package").otherwise("receiver type")).when(F.col("rank") == 1, "same-file lexical scope").when(F.col("rank") == 2, "explicit import scope").when(F.col("rank") == 5, "nearest inherited receiver type").otherwise("language-wide fallback")
+    scope = F.when(F.col("rank") == 0, F.when(F.col("target_file_hint") != "", "by module hint").otherwise("by receiver's type")).when(F.col("rank") == 1, "in the same file").when(F.col("rank") == 2, "imported").when(F.col("rank") == 5, "inherited").otherwise("by name in the language")
     return rows.select("call_id", "file", "source_id", "fallback_caller_id", "start_byte", "target_id", "target_qualified", F.least("confidence", sure, "inferred").alias("confidence"), scope.alias("scope"), F.concat("explanation", F.coalesce("via", F.lit(""))).alias("explanation"), "provenance", "evidence_file", "evidence_line")
 
 
@@ -290,7 +353,7 @@ def interface_dispatch(symbols: DataFrame, heritage: DataFrame) -> DataFrame:
     concrete = methods.groupBy("name", F.col("owner").alias("c_owner"), F.col("file").alias("c_file")).agg(F.max_by("id", "id").alias("target_id"), F.max_by("start_line", "id").alias("evidence_line"))
     rows = pairs.join(declared, ["i_owner", "i_file"]).join(concrete, ["name", "c_owner", "c_file"]).dropDuplicates(["source_id", "target_id"])
     rows = rows.withColumn("n", _count_over("source_id")).where(F.col("n") <= INTERFACE_FANOUT).withColumn("evidence_file", F.col("c_file"))
-    return edges(rows, "calls", "dynamic/interface-implementation", 0.94, F.concat(F.lit("interface dispatch may invoke "), "c_owner", F.lit("."), "name"))
+    return edges(rows, "calls", "dynamic/interface-implementation", 0.94, F.concat(F.lit("implemented by "), "c_owner", F.lit("."), "name"))
 
 
 def event_dispatch(events: DataFrame, targets: DataFrame) -> DataFrame:
@@ -309,8 +372,8 @@ def event_dispatch(events: DataFrame, targets: DataFrame) -> DataFrame:
     sent = scoped.where("action = 'dispatch'").select(*key, F.col("owner_id").alias("source_id"), "evidence_file", "evidence_line")
     rows = sent.join(handlers.join(fan, key), key).where("source_id <> target_id")
     place = F.concat("at.f", F.lit(":"), F.col("at.l").cast("string"))
-    ohos = F.concat(F.lit("Harmony emitter channel `"), "channel", F.lit("` dispatches to a handler registered at "), place)
-    plain = F.concat(F.lit("literal event `"), "channel", F.lit("` on `"), "receiver", F.lit("` dispatches to a handler registered at "), place)
+    ohos = F.concat(F.lit("emitter event "), "channel", F.lit(", handler set at "), place)
+    plain = F.concat(F.lit("event "), "channel", F.lit(" of "), "receiver", F.lit(", handler set at "), place)
     return edges(rows, "calls", F.when(emitter, "framework/ohos-emitter").otherwise("dynamic/event-registration"), F.when(emitter, 0.97).otherwise(0.92), F.when(emitter, ohos).otherwise(plain)).distinct()
 
 
@@ -369,7 +432,7 @@ def callback_edges(arguments: DataFrame, targets: DataFrame, formals: DataFrame,
     rows = given.join(only, ["file", "target_name"]).join(reached, (F.col("callee_id") == F.col("a_owner")) & (F.col("index") == F.col("a_index"))).where("source_id <> target_id")
     rows = rows.withColumn("evidence_file", F.col("file")).withColumn("evidence_line", F.col("line"))
     confidence = F.when(F.col("depth") == 0, 0.96).otherwise(0.94)
-    return edges(rows, "calls", "dynamic/callback-argument", confidence, F.concat(F.lit("callback argument `"), "target_name", F.lit("` is invoked by parameter "), F.col("index").cast("string")), F.col("call_start_byte"))
+    return edges(rows, "calls", "dynamic/callback-argument", confidence, F.concat("target_name", F.lit(" is called as argument "), F.col("index").cast("string")), F.col("call_start_byte"))
 
 
 def router_prefixes(routers: DataFrame, mounts: DataFrame) -> DataFrame:
@@ -408,22 +471,26 @@ def materialize_routes(routes: DataFrame, prefixes: DataFrame, symbols: DataFram
 
 
 def propagate_targets(seeds: DataFrame, flows: DataFrame) -> DataFrame:
-    """The fixed point of sets of function targets over slots: (slot, target) with at most 300 targets a slot, a fuller slot keeping none.
+    """The fixed point of sets of function targets over slots: (slot, target).
 
-    ``seeds``: slot, target; ``flows``: from_slot, to_slot.  Semi-naive: each round carries only new rows on.
+    ``seeds``: slot, target; ``flows``: from_slot, to_slot.  A slot with more than 300 targets passes nothing on;
+    one that would get more than 300 from what flows into it ends up with none, its own included.  A slot that
+    nothing flows into keeps its seeds, however many.  Semi-naive: each round carries only new rows on.
     """
+    flows = cut(flows.select(F.col("from_slot").alias("slot"), "to_slot").distinct())
     known = cut(seeds.select("slot", "target").distinct())
-    fresh = known
-    while not fresh.isEmpty():
-        moved = fresh.join(flows.select(F.col("from_slot").alias("slot"), "to_slot").distinct(), "slot").select(F.col("to_slot").alias("slot"), "target").distinct()
-        fresh = moved.join(known, ["slot", "target"], "left_anti")
+    fresh, cleared = known, known.select("slot").limit(0)
+    while True:
+        few = known.groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") <= C_TARGETS).select("slot")
+        moved = fresh.join(few, "slot", "left_semi").join(flows, "slot").select(F.col("to_slot").alias("slot"), "target").distinct()
+        fresh = cut(moved.join(known, ["slot", "target"], "left_anti").join(cleared, "slot", "left_anti"))
+        if fresh.isEmpty():
+            return known
         every = known.union(fresh)
-        full = every.groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") > C_TARGETS).select("slot")
-        # A full slot passes nothing on and stays out.
-        fresh = cut(fresh.join(full, "slot", "left_anti"))
-        known = cut(every.join(full, "slot", "left_anti"))
-        flows = flows.join(full.withColumnRenamed("slot", "to_slot"), "to_slot", "left_anti") if not full.isEmpty() else flows
-    return known
+        over = every.join(fresh.select("slot").distinct(), "slot", "left_semi").groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") > C_TARGETS).select("slot")
+        over = cut(over)
+        known, fresh = cut(every.join(over, "slot", "left_anti")), fresh.join(over, "slot", "left_anti")
+        cleared = cleared.union(over)
 
 
 def include_closure(includes: DataFrame, depth: int = CHAIN_DEPTH) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunks, graph, resolve, search
+from ..operators import chunks, graph, modules, resolve, search
 from ..sources.project import content_format, delta
 from . import projection as P
 from . import state
+from .lineage import keep
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,11 +115,11 @@ def content_formats(spark, sf):
 # --- symbols --------------------------------------------------------------------------------
 
 
-@query("identifier_segments", r"SELECT p_partkey, array_to_string(list_distinct(list_transform(regexp_extract_all(p_name || ' ' || p_brand || ' ' || p_type, '[\pL\pN]+'), lambda x: lower(x))), ' ') IS NOT NULL AS ok, len(list_distinct(list_concat(list_transform(regexp_extract_all(p_name || ' ' || p_brand || ' ' || p_type, '[\pL\pN]+'), lambda x: lower(x)), regexp_extract_all(lower(p_name || ' ' || p_brand || ' ' || p_type), '\pL+|\pN+')))) AS n_segments FROM part")
+@query("identifier_segments", r"WITH t AS (SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_type AS t FROM part) SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat(list_transform(regexp_extract_all(t, '[\pL\pN]+'), lambda x: lower(x)), regexp_extract_all(lower(t), '\pL+|\pN+')))), ' ') AS segments FROM t")
 def identifier_segments(spark, sf):
     part = P.read(spark, sf, "part")
     segments = T.identifier_segments(F.concat_ws(" ", "p_name", "p_brand", "p_type"))
-    return part.select("p_partkey", segments.isNotNull().alias("ok"), F.size(segments).alias("n_segments"))
+    return part.select("p_partkey", F.array_join(F.array_sort(segments), " ").alias("segments"))
 
 
 _TERMS = ["red", "widget", "brand", "12"]
@@ -127,13 +128,12 @@ _SEGS = r"list_distinct(list_concat(list_transform(regexp_extract_all({0}, '[\pL
 
 @query(
     "symbol_search",
-    f"WITH {_SYMBOLS}, toks AS (SELECT *, list_concat(list_concat({_tokens('name')}, {_tokens('qualified_name')}), list_concat({_tokens('file')}, {_SEGS.format(chr(40) + 'name || ' + chr(39) + ' ' + chr(39) + ' || qualified_name' + chr(41))})) AS toks FROM syms WHERE kind <> 'module'), {_bm25('toks', _TERMS)}, "
+    f"WITH {_SYMBOLS}, toks AS (SELECT *, list_concat(list_concat({_tokens('name')}, {_tokens('qualified_name')}), list_concat({_tokens('file')}, {_SEGS.format(chr(40) + 'name || ' + chr(39) + ' ' + chr(39) + ' || qualified_name' + chr(41))})) AS toks FROM syms), {_bm25('toks', _TERMS)}, "
     "best AS (SELECT * FROM scored ORDER BY bm25 DESC, id LIMIT 80) "
     "SELECT id, name, round(bm25 + CASE WHEN lower(name) IN ('red','widget','brand','12') THEN 6 WHEN lower(name) LIKE 'red%' OR lower(name) LIKE 'widget%' OR lower(name) LIKE 'brand%' OR lower(name) LIKE '12%' THEN 3 ELSE 0 END, 6) AS score FROM best ORDER BY score DESC, qualified_name, file, id LIMIT 20",
 )
 def symbol_search(spark, sf):
-    rows = P.symbols(spark, sf).where("kind <> 'module'")
-    return search.symbol_search(rows, "red widget of brand12", 20).select("id", "name", F.round("score", 6).alias("score"))
+    return search.symbol_search(P.symbols(spark, sf), "red widget of brand12", 20).select("id", "name", F.round("score", 6).alias("score"))
 
 
 @query("find_symbols", f"WITH {_SYMBOLS} SELECT id, kind, name, qualified_name, file FROM syms WHERE name = 'NATION_3' OR id = 'NATION_3' OR qualified_name = 'NATION_3'")
@@ -183,7 +183,8 @@ reach(id, depth) AS (SELECT id, 0 FROM syms WHERE name = 'red widget Brand#17' U
 SELECT id, min(depth) AS depth FROM reach GROUP BY id HAVING min(depth) > 0""",
 )
 def impact(spark, sf):
-    return graph.impact(P.symbols(spark, sf), P.relationships(spark, sf), "red widget Brand#17", max_depth=3).select("id", "depth")
+    # As the engine does: traversals read stored tables.
+    return graph.impact(keep(P.symbols(spark, sf)), keep(P.relationships(spark, sf)), "red widget Brand#17", max_depth=3).select("id", "depth")
 
 
 @query(
@@ -192,7 +193,7 @@ def impact(spark, sf):
 SELECT 'found' AS status, min(depth) AS steps, 'c_5' AS source, 's_7' AS target FROM reach WHERE id = 's_7'""",
 )
 def trace_path(spark, sf):
-    found = graph.trace(P.symbols(spark, sf), P.relationships(spark, sf), "c_5", "s_7", max_depth=4)
+    found = graph.trace(keep(P.symbols(spark, sf)), keep(P.relationships(spark, sf)), "c_5", "s_7", max_depth=4)
     return spark.createDataFrame([(found.status, len(found.path), "c_5", found.path[-1]["id"] if found.path else None)], "status string, steps int, source string, target string")
 
 
@@ -208,17 +209,30 @@ def file_glob(spark, sf):
     return graph.files(none, P.content_files(spark, sf), glob="src1?/*7.fr").select("path")
 
 
+_SEARCH = f"toks AS (SELECT *, list_concat(list_concat({_tokens('name')}, {_tokens('qualified_name')}), list_concat({_tokens('file')}, {_SEGS.format(chr(40) + 'name || ' + chr(39) + ' ' + chr(39) + ' || qualified_name' + chr(41))})) AS toks FROM syms)"
+
+
+def _hits(terms: list[str], limit: int) -> str:
+    """CTEs of a symbol search whose terms are in no file's name."""
+    starts = " OR ".join(f"starts_with(lower(name), '{t}')" for t in terms)
+    return (
+        f"{_SEARCH}, {_bm25('toks', terms)}, best AS (SELECT * FROM scored ORDER BY bm25 DESC, id LIMIT {4 * limit}), "
+        f"hits AS (SELECT *, bm25 + CASE WHEN lower(name) = '{' '.join(terms)}' OR lower(qualified_name) = '{' '.join(terms)}' THEN 10 WHEN lower(name) IN ({', '.join(repr(t) for t in terms)}) THEN 6 WHEN {starts} THEN 3 ELSE 0 END AS score FROM best ORDER BY round(score, 9) DESC, qualified_name, file, id LIMIT {limit})"
+    )
+
+
+def _direction(name: str, own: str, other: str, kind: str) -> str:
+    return f"SELECT h.id AS origin_id, '{name}' AS direction, s.id, row_number() OVER (PARTITION BY h.id ORDER BY e.confidence DESC, s.qualified_name, e.evidence_file, e.evidence_line, s.id) AS nth, count(*) OVER (PARTITION BY h.id) AS n FROM hits h JOIN edges e ON e.{own} = h.id AND e.kind = '{kind}' JOIN syms s ON s.id = e.{other}"
+
+
 @query(
     "explore_relationships",
-    f"""WITH {_SYMBOLS}, {_EDGES}, hits AS (SELECT id FROM syms WHERE file = 'part' ORDER BY id LIMIT 50),
-e AS (SELECT h.id AS origin_id, 'callers' AS direction, s.id, row_number() OVER (PARTITION BY h.id ORDER BY e.confidence DESC, s.qualified_name, e.evidence_file, e.evidence_line, s.id) AS nth, count(*) OVER (PARTITION BY h.id) AS n FROM hits h JOIN edges e ON e.target_id = h.id AND e.kind = 'calls' JOIN syms s ON s.id = e.source_id
- UNION ALL SELECT h.id, 'references', s.id, row_number() OVER (PARTITION BY h.id ORDER BY e.confidence DESC, s.qualified_name, e.evidence_file, e.evidence_line, s.id), count(*) OVER (PARTITION BY h.id) FROM hits h JOIN edges e ON e.source_id = h.id AND e.kind = 'references' JOIN syms s ON s.id = e.target_id)
-SELECT origin_id, direction, id, n > 8 AS truncated FROM e WHERE nth <= 8""",
+    f"WITH {_SYMBOLS}, {_EDGES}, {_hits(['red', 'widget'], 80)}, e AS ({_direction('callers', 'target_id', 'source_id', 'calls')} UNION ALL {_direction('callees', 'source_id', 'target_id', 'calls')} UNION ALL {_direction('referenced_by', 'target_id', 'source_id', 'references')} UNION ALL {_direction('references', 'source_id', 'target_id', 'references')}) SELECT origin_id, direction, id, n > 8 AS truncated FROM e WHERE nth <= 8",
 )
 def explore_relationships(spark, sf):
-    symbols = P.symbols(spark, sf)
-    hits = symbols.where("file = 'part'").orderBy("id").limit(50).withColumn("score", F.lit(1.0))
-    _, found = graph.explore(symbols, P.relationships(spark, sf), hits, 1)
+    symbols = keep(P.symbols(spark, sf))
+    hits = keep(search.symbol_search(symbols, "red widget", 80, candidates=True))
+    _, found = graph.explore(symbols, P.relationships(spark, sf), hits, 20)
     return found.select("origin_id", "direction", "id", "truncated")
 
 
@@ -239,7 +253,7 @@ def status(spark, sf):
 
 @query(
     "quality",
-    """WITH e AS (SELECT DISTINCT source AS language, lang AS caller, CAST(n_chars % 50 AS VARCHAR) AS callee FROM documents WHERE doc_id % 2 = 0), p AS (SELECT DISTINCT source AS language, lang AS caller, CAST(n_chars % 50 AS VARCHAR) AS callee FROM documents WHERE doc_id % 3 = 0),
+    """WITH e AS (SELECT DISTINCT source AS language, lang AS caller, CAST(n_chars % 50 AS VARCHAR) AS callee FROM documents), p AS (SELECT DISTINCT source AS language, lang AS caller, CAST((n_chars + doc_id) % 60 AS VARCHAR) AS callee FROM documents),
 j AS (SELECT coalesce(e.language, p.language) AS language, e.caller IS NOT NULL AS in_e, p.caller IS NOT NULL AS in_p FROM e FULL JOIN p USING (language, caller, callee))
 SELECT language, count(*) FILTER (in_e) AS expected, count(*) FILTER (in_p) AS predicted, count(*) FILTER (in_e AND in_p) AS matched,
  round(CASE WHEN count(*) FILTER (in_p) = 0 THEN 1 ELSE count(*) FILTER (in_e AND in_p) / count(*) FILTER (in_p) END, 6) AS precision,
@@ -248,8 +262,8 @@ FROM j GROUP BY ROLLUP (language)""",
 )
 def quality(spark, sf):
     docs = P.read(spark, sf, "documents")
-    edge = docs.select("doc_id", F.col("source").alias("language"), F.col("lang").alias("caller"), (F.col("n_chars") % 50).cast("string").alias("callee"))
-    found = graph.quality(edge.where("doc_id % 2 = 0"), edge.where("doc_id % 3 = 0"))
+    edge = lambda callee: docs.select(F.col("source").alias("language"), F.col("lang").alias("caller"), callee.cast("string").alias("callee"))
+    found = graph.quality(edge(F.col("n_chars") % 50), edge((F.col("n_chars") + F.col("doc_id")) % 60))
     return found.withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
 
 
@@ -485,12 +499,106 @@ def upsert_rows(spark, sf):
 
 @query(
     "research",
-    None,
+    f"""WITH sym AS (WITH {_SYMBOLS}, {_hits(['red', 'widget'], 48)} SELECT file, id AS hit, score, 0 AS source FROM hits),
+con AS (WITH RECURSIVE {_CHUNKS}, rows_ AS (SELECT *, {_tokens('text')} AS toks FROM chunks), {_bm25('rows_', ['heat', 'tionth'])}, best AS (SELECT * FROM scored ORDER BY bm25 DESC, path, ordinal LIMIT 96),
+ ranked AS (SELECT path, start_line, bm25 + 4 * (CASE WHEN list_contains(regexp_extract_all(lower(path), '[\\pL\\pN]+'), 'heat') THEN 1 ELSE 0 END + CASE WHEN list_contains(regexp_extract_all(lower(path), '[\\pL\\pN]+'), 'tionth') THEN 1 ELSE 0 END) AS score FROM best ORDER BY round(score, 9) DESC, path, start_line LIMIT 24) SELECT path AS file, CAST(start_line AS VARCHAR) AS hit, score, 1 AS source FROM ranked),
+a AS (SELECT *, row_number() OVER (ORDER BY source, round(score, 9) DESC, file, hit) AS nth FROM (SELECT * FROM sym UNION ALL SELECT * FROM con)),
+f AS (SELECT file, row_number() OVER (ORDER BY min(nth)) AS file_no FROM a GROUP BY file)
+SELECT file, hit, source, file_no FROM a JOIN f USING (file) WHERE file_no <= 12""",
 )
 def research(spark, sf):
     """Symbols and content within one budget of files."""
     symbols, files = P.symbols(spark, sf), P.content_files(spark, sf)
     hits = search.symbol_search(symbols, "red widget", 48, candidates=True).select("file", F.col("id").alias("hit"), F.col("score"), F.lit(0).alias("source"))
     content = search.content_search(chunks.content_chunks(files), "heat tionth", 24).select(F.col("path").alias("file"), F.col("start_line").cast("string").alias("hit"), "score", F.lit(1).alias("source"))
-    kept = graph.first_files(hits.union(content), [F.asc("source"), F.desc("score"), F.asc("file"), F.asc("hit")], 12)
+    every = keep(hits.union(content).withColumn("score", F.round("score", 9)))
+    kept = graph.first_files(every, [F.asc("source"), F.desc("score"), F.asc("file"), F.asc("hit")], 12)
     return kept.select("file", "hit", "source", "file_no")
+
+
+# --- imports made into files ----------------------------------------------------------------
+
+
+@query(
+    "resolve_modules",
+    """WITH d AS (SELECT doc_id, source, lang FROM documents), f AS (SELECT DISTINCT source || '/' || lang || '/m' || doc_id AS stem FROM d),
+h AS (SELECT source || '/' || lang || '/m' || doc_id || '.ts' AS file, './m' || (doc_id + 1) AS hint, source || '/' || lang || '/m' || (doc_id + 1) AS want, 'project/relative-import' AS provenance FROM d
+ UNION ALL SELECT source || '/' || lang || '/m' || doc_id || '.ts', '../en/m' || (doc_id + 2) || '.js', source || '/en/m' || (doc_id + 2), 'project/relative-import' FROM d
+ UNION ALL SELECT source || '/' || lang || '/m' || doc_id || '.ts', '@src/' || lang || '/m' || (doc_id // 2), 'src0/' || lang || '/m' || (doc_id // 2), 'tsconfig/path-alias' FROM d
+ UNION ALL SELECT source || '/' || lang || '/m' || doc_id || '.ts', '@acme/' || source || '/de/m' || (doc_id // 3), source || '/de/m' || (doc_id // 3), 'workspace/package' FROM d)
+SELECT DISTINCT file, hint, want AS resolved, provenance FROM h JOIN f ON f.stem = h.want""",
+)
+def resolve_modules(spark, sf):
+    """Documents as modules source/lang/m<id>.ts: relative paths, an alias of src0, a workspace package per source."""
+    docs = P.read(spark, sf, "documents").select("doc_id", "source", "lang")
+    number = lambda column: column.cast("long").cast("string")
+    key = F.col("doc_id")
+    file = F.concat_ws("/", "source", "lang", F.concat(F.lit("m"), number(key), F.lit(".ts")))
+    hints = F.array(
+        F.concat(F.lit("./m"), number(key + 1)),
+        F.concat(F.lit("../en/m"), number(key + 2), F.lit(".js")),
+        F.concat(F.lit("@src/"), "lang", F.lit("/m"), number(F.floor(key / 2))),
+        F.concat(F.lit("@acme/"), "source", F.lit("/de/m"), number(F.floor(key / 3))),
+    )
+    asked = docs.select(file.alias("file"), F.explode(hints).alias("hint"))
+    root = [("tsconfig.json", '{"compilerOptions": {"paths": {"@src/*": ["gone/*", "src0/*"]}}}'), ("package.json", '{"workspaces": ["*"]}')]
+    own = docs.select("source").distinct().select(F.concat("source", F.lit("/package.json")).alias("path"), F.concat(F.lit('{"name": "@acme/'), "source", F.lit('"}')).alias("text"))
+    config = keep(modules.read_config(spark.createDataFrame(root, "path string, text string").union(own)))
+    return modules.resolve_hints(asked, docs.select(file.alias("path")), config)
+
+
+@query(
+    "resolve_calls_by_place",
+    """WITH t AS (SELECT 'C' || c_custkey || '.seg' || (c_custkey % 7) AS q, 'm' || c_custkey AS id, 'dir' || c_nationkey || '/f' || c_custkey AS stem, 'seg' || (c_custkey % 7) AS name, c_nationkey AS n FROM customer),
+asked AS (SELECT DISTINCT o_custkey % 40 AS k, 'seg' || (o_orderkey % 7) AS name FROM orders),
+met AS (SELECT k, name, id, count(*) OVER (PARTITION BY k, name) AS n FROM asked JOIN t USING (name) WHERE t.n = k)
+SELECT 'caller' AS source_id, id AS target_id, CAST(k AS BIGINT) AS evidence_line, CASE WHEN n = 1 THEN 0.995 ELSE 0.65 END AS confidence FROM met WHERE n <= 6""",
+)
+def resolve_calls_by_place(spark, sf):
+    """Calls with a module hint, of names that many symbols have: only those of the place count (tier 0)."""
+    c, o = P.read(spark, sf, "customer"), P.read(spark, sf, "orders")
+    key, seg = F.col("c_custkey").cast("string"), F.concat(F.lit("seg"), (F.col("c_custkey") % 7).cast("string"))
+    symbols = c.select(F.concat(F.lit("m"), key).alias("id"), F.lit("ts").alias("language"), F.lit("method").alias("kind"), seg.alias("name"), F.concat(F.lit("C"), key, F.lit("."), seg).alias("qualified_name"), F.concat(F.lit("dir"), F.col("c_nationkey").cast("string"), F.lit("/f"), key, F.lit(".ts")).alias("file"))
+    caller = spark.range(1).select(F.lit("caller").alias("id"), F.lit("ts").alias("language"), F.lit("function").alias("kind"), F.lit("caller").alias("name"), F.lit("caller").alias("qualified_name"), F.lit("main.ts").alias("file"))
+    asked = o.select((F.col("o_custkey") % 40).alias("k"), F.concat(F.lit("seg"), (F.col("o_orderkey") % 7).cast("string")).alias("name")).distinct()
+    null = lambda kind: F.lit(None).cast(kind)
+    calls = asked.select(F.concat_ws("#", F.col("k").cast("string"), "name").alias("call_id"), F.lit("main.ts").alias("file"), F.lit("caller").alias("caller_id"), null("string").alias("fallback_caller_id"), F.col("name").alias("callee_name"), null("string").alias("receiver_binding"), null("string").alias("receiver_type"), null("long").alias("receiver_call_start_byte"), F.concat(F.lit("dir"), F.col("k").cast("string")).alias("target_file_hint"), F.lit("syntax/call").alias("provenance"), F.lit(1.0).alias("confidence"), F.lit("call").alias("explanation"), F.lit(True).alias("resolvable"), F.lit("main.ts").alias("evidence_file"), F.col("k").cast("long").alias("evidence_line"), F.lit(0).cast("long").alias("start_byte"))
+    bindings = spark.createDataFrame([], "file string, binding_name string, target_id string, confidence double")
+    links = spark.createDataFrame([], "source_id string, target_id string, kind string")
+    return resolve.resolve_calls(calls, symbols.union(caller), bindings, links)[0].select("source_id", "target_id", "evidence_line", "confidence")
+
+
+@query(
+    "callback_edges",
+    """WITH a AS (SELECT DISTINCT n_nationkey AS n, n_regionkey AS r FROM nation)
+SELECT 'take' || r AS source_id, 'fn' || n AS target_id, CASE WHEN r % 2 = 0 THEN 0.96 ELSE 0.94 END AS confidence FROM a WHERE r % 2 = 0
+UNION ALL SELECT 'last', 'fn' || n, 0.94 FROM a WHERE r % 2 = 1""",
+)
+def callback_edges(spark, sf):
+    """Nations hand a function to their region's taker, which calls it or, in odd regions, hands it on to one that does."""
+    n, r = P.read(spark, sf, "nation"), P.read(spark, sf, "region")
+    at = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
+    arguments = n.select(F.lit("f").alias("file"), at("n", "n_nationkey").alias("caller_id"), at("take", "n_regionkey").alias("callee_name"), F.lit(0).cast("long").alias("argument_index"), F.lit(None).cast("string").alias("formal_name"), at("fn", "n_nationkey").alias("target_name"), F.lit(1).cast("long").alias("line"), F.col("n_nationkey").cast("long").alias("call_start_byte"))
+    targets = n.select(F.lit("f").alias("file"), at("n", "n_nationkey").alias("source_id"), F.col("n_nationkey").cast("long").alias("start_byte"), at("take", "n_regionkey").alias("target_id"))
+    targets = targets.union(r.select(F.lit("f"), at("take", "r_regionkey"), (F.col("r_regionkey") + 1000).cast("long"), F.lit("last")))
+    odd, zero = r.where("r_regionkey % 2 = 1"), F.lit(0).cast("long")
+    invocations = r.where("r_regionkey % 2 = 0").select(at("take", "r_regionkey").alias("owner_id"), zero.alias("parameter_index")).union(spark.range(1).select(F.lit("last"), zero))
+    delegations = odd.select(at("take", "r_regionkey").alias("owner_id"), zero.alias("parameter_index"), F.lit("f").alias("file"), (F.col("r_regionkey") + 1000).cast("long").alias("call_start_byte"), zero.alias("argument_index"))
+    formals = spark.createDataFrame([], "owner_id string, formal_name string, parameter_index long")
+    symbols = n.select(at("fn", "n_nationkey").alias("id"), at("fn", "n_nationkey").alias("name"), F.lit("function").alias("kind"), F.lit("f").alias("file"))
+    bindings = spark.createDataFrame([], "file string, binding_name string, target_id string, confidence double")
+    return resolve.callback_edges(arguments, targets, formals, invocations, delegations, symbols, bindings).select("source_id", "target_id", "confidence")
+
+
+@query(
+    "resolve_includes",
+    """WITH f AS (SELECT source || '/' || lang || '/' || doc_id || '.h' AS path, lang || '/' || doc_id || '.h' AS tail, doc_id || '.h' AS name FROM documents)
+SELECT DISTINCT f.path AS file, g.tail AS include, g.path AS target FROM f JOIN f g ON split_part(f.name, '.', 1)::BIGINT // 2 = split_part(g.name, '.', 1)::BIGINT WHERE 1 = (SELECT count(*) FROM f x WHERE x.tail = g.tail)""",
+)
+def resolve_includes(spark, sf):
+    docs = P.read(spark, sf, "documents").select("doc_id", "source", "lang")
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".h"))
+    files = docs.select(F.concat_ws("/", "source", "lang", name).alias("path"))
+    asked = docs.select(F.concat_ws("/", "source", "lang", name).alias("file"), F.floor(F.col("doc_id") / 2).alias("half"))
+    asked = asked.join(docs.select(F.col("doc_id").alias("half"), F.concat_ws("/", "lang", name).alias("include")), "half").select("file", "include", F.lit(False).alias("quoted"))
+    return resolve.resolve_includes(asked, files)

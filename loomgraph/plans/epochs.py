@@ -11,6 +11,7 @@ import json
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,11 @@ class EpochStore:
         path = self._path(f"{self.root}/{name}")
         if not self._fs.exists(path):
             return None
-        return self.spark._jvm.org.apache.commons.io.IOUtils.toString(self._fs.open(path), "UTF-8")
+        stream = self._fs.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     def _replace(self, name: str, text: str) -> None:
         temporary = self._path(f"{self.root}/.{name}-{uuid.uuid4().hex}")
@@ -64,18 +69,41 @@ class EpochStore:
         return self.meta()["epoch"]
 
     def publish(self, tables: dict[str, DataFrame], based_on: int, **more) -> int:
-        """Writes all tables and then moves the pointer; fails if another version was published since ``based_on``."""
+        """Writes all tables and then moves the pointer; fails if another version was published since ``based_on``.
+
+        A version's number is claimed by a file that can be made only once, so of two writers one wins.  Tables are
+        written before the claim: a writer that dies early leaves no claim behind.  One that dies between claim and
+        pointer leaves a claim that nothing stands for; ``repair`` gives it up.
+        """
         number = based_on + 1
         folder = f"{self.root}/epoch={number}-{uuid.uuid4().hex[:8]}"
         for name, df in tables.items():
             df.write.parquet(f"{folder}/{name}")
-        if self.epoch != based_on:
+        meta = self.meta()
+        if meta["epoch"] != based_on or not self._claim(number):
             self._fs.delete(self._path(folder), True)
-            raise EpochError(f"version {self.epoch} was published meanwhile")
-        where = self.meta()["tables"] | {name: f"{folder}/{name}" for name in tables}
+            raise EpochError(f"a version after {based_on} was published meanwhile")
+        where = meta["tables"] | {name: f"{folder}/{name}" for name in tables}
         self._replace("current.json", json.dumps({"epoch": number, "tables": where, "schema_version": SCHEMA_VERSION} | more))
         return number
 
+    def _claim(self, number: int) -> bool:
+        path = self._path(f"{self.root}/.claim-{number}")
+        self._fs.mkdirs(path.getParent())
+        if self._fs.getUri().getScheme() == "file":  # whose ``create`` looks and then writes
+            return self.spark._jvm.java.io.File(self._path(self.root).toUri().getPath(), f".claim-{number}").createNewFile()
+        try:
+            self._fs.create(path, False).close()
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
+    def repair(self) -> None:
+        """Gives up a claim on the next version; only when no writer is at work."""
+        self._fs.delete(self._path(f"{self.root}/.claim-{self.epoch + 1}"), False)
+
     def read(self, table: str, meta: dict | None = None) -> DataFrame:
         """A table of one version; pass ``meta`` to stay with that version over several reads."""
         return self.spark.read.parquet((meta or self.meta())["tables"][table])
@@ -98,6 +126,8 @@ class EpochStore:
             return None
         aside = f"{self.root}/damaged-{int(time.time() * 1000)}.json"
         self._fs.rename(path, self._path(aside))
+        for status in self._fs.globStatus(self._path(f"{self.root}/.claim-*")) or []:
+            self._fs.delete(status.getPath(), False)
         return aside
 
     def backup(self, target: str) -> None:
@@ -106,7 +136,29 @@ class EpochStore:
         other = EpochStore(self.spark, target)
         if other.epoch:
             raise EpochError("the target already has a version")
-        other.publish({name: self.spark.read.parquet(path) for name, path in meta["tables"].items()}, 0, source_epoch=meta["epoch"])
+        other.publish({name: self.spark.read.parquet(path) for name, path in meta["tables"].items()}, 0, source_epoch=meta["epoch"], rows={name: self.spark.read.parquet(path).count() for name, path in meta["tables"].items()})
+
+    def validate(self) -> dict[str, int]:
+        """Rows per table of the current version; an error if one can't be read or, in a backup, has other rows than were written."""
+        meta, out = self.meta(), {}
+        for name, path in meta["tables"].items():
+            if not self._fs.exists(self._path(path)):
+                raise EpochError(f"table {name} is missing")
+            out[name] = self.read(name, meta).count()
+        if meta.get("rows", out) != out:
+            raise EpochError("the tables are not those that were written")
+        return out
+
+    def restore(self, source: str, force: bool = False) -> int:
+        """Publishes a backup's version here, after it was validated; over versions of our own only if forced."""
+        other = EpochStore(self.spark, source)
+        if not other.epoch:
+            raise EpochError("the backup has no version")
+        if self.epoch and not force:
+            raise EpochError("the store already has a version")
+        other.validate()
+        meta = other.meta()
+        return self.publish({name: other.read(name, meta) for name in meta["tables"]}, self.epoch, restored_from=meta["epoch"])
 
 
 def replace_files(table: DataFrame, changed: DataFrame, new: DataFrame, file_col: str = "file") -> DataFrame:

@@ -55,6 +55,14 @@ def rename_workspace(workspaces: DataFrame, id: str, name: str, now: int) -> Dat
     return workspaces.withColumn("name", F.when(hit, F.lit(name.strip())).otherwise(F.col("name"))).withColumn("updated_at_ms", F.when(hit, F.lit(now).cast("long")).otherwise(F.col("updated_at_ms")))
 
 
+def get(table: DataFrame, value: str, column: str = "id"):
+    """The one row of an id: a workspace, session or memory, or the recap of a ``session_id``."""
+    row = table.where(F.col(column) == value).first()
+    if row is None:
+        raise StateError(f"not found: {value}")
+    return row
+
+
 def listed(table: DataFrame, limit: int = 100, **equal) -> DataFrame:
     """Rows by recency, then id."""
     budget.limit(limit)

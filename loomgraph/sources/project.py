@@ -18,32 +18,32 @@ from ..functions.text import glob_regex
 from ..operators.chunks import MAX_FILE_BYTES
 
 #: Language by extension.
-LANGUAGES = {
-    "typescript": "ts mts cts",
+EXTENSIONS = {
+    "ts": "typescript", "mts": "typescript", "cts": "typescript",
     "tsx": "tsx",
-    "javascript": "js mjs cjs",
+    "js": "javascript", "mjs": "javascript", "cjs": "javascript",
     "jsx": "jsx",
     "vue": "vue",
     "svelte": "svelte",
     "astro": "astro",
-    "arkts": "ets",
-    "python": "py pyi",
-    "rust": "rs",
+    "ets": "arkts",
+    "py": "python", "pyi": "python",
+    "rs": "rust",
     "go": "go",
     "java": "java",
-    "csharp": "cs",
-    "c": "c h",
-    "cpp": "cc cpp cxx hh hpp hxx",
+    "cs": "csharp",
+    "c": "c", "h": "c",
+    "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hh": "cpp", "hpp": "cpp", "hxx": "cpp",
     "dart": "dart",
-    "ruby": "rb rake",
-    "php": "php phtml",
+    "rb": "ruby", "rake": "ruby",
+    "php": "php", "phtml": "php",
     "swift": "swift",
     "lua": "lua",
-    "kotlin": "kt kts",
-    "scala": "scala sc",
+    "kt": "kotlin", "kts": "kotlin",
+    "scala": "scala", "sc": "scala",
     "r": "r",
 }
-EXTENSIONS = {e: language for language, own in LANGUAGES.items() for e in own.split()}
+LANGUAGES = frozenset(EXTENSIONS.values())
 #: Folders that are never entered, formats of content, file names that are text.
 IGNORED = (".git", ".loomgraph", "node_modules", "dist", "build", "out", "target", "vendor", "coverage", "__pycache__", ".venv", "venv", ".next", ".nuxt", ".svelte-kit", ".turbo", ".cache")
 FORMATS = {"document": "md mdx rst txt", "config": "json jsonc toml yaml yml", "script": "sh bash zsh fish ps1"}
@@ -131,6 +131,30 @@ def ignore_rules(text: str, base: str = "") -> list[tuple[str, bool]]:
     return rules
 
 
+def ignore_files(files: DataFrame, more: str = "") -> list[tuple[str, bool]]:
+    """The rules of a tree's own ignore files (path, content): ``more`` first, as of a global file, then .git/info/exclude, then the
+    .gitignore files from the root down.  They are configuration: a file of at most 1 MiB per folder, read to the driver."""
+    own = files.where(F.element_at(F.split("path", "/"), -1).isin(".gitignore") | (F.col("path") == ".git/info/exclude")).where(F.col("length") <= MAX_FILE_BYTES)
+    texts = {r["path"]: bytes(r["content"]).decode(errors="replace") for r in own.select("path", "content").collect()}
+    rules = ignore_rules(more) + ignore_rules(texts.pop(".git/info/exclude", ""))
+    for path in sorted(texts, key=lambda p: (p.count("/"), p)):
+        if not any(part in IGNORED for part in path.split("/")[:-1]):
+            rules += ignore_rules(texts[path], path[: -len(".gitignore")])
+    return rules
+
+
+def outside_built_in(files: DataFrame) -> DataFrame:
+    """The files of a tree that no built-in folder holds."""
+    return files.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, IGNORED))))
+
+
+def manifests(files: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """(path, text) of the files of a tree with one of the names, outside the built-in folders."""
+    parts = F.split("path", "/")
+    rows = outside_built_in(files).where(F.element_at(parts, -1).isin(*names) & (F.col("length") <= MAX_FILE_BYTES))
+    return rows.select("path", lossy_utf8("content").alias("text"))
+
+
 def ignored_by(path: Column, rules: list[tuple[str, bool]]) -> Column:
     out = F.lit(False)
     for regex, ignored in rules:
@@ -177,7 +201,11 @@ def _hidden(spark: SparkSession, root: str) -> list[tuple[str, int]]:
         for status in system.listStatus(folder):
             name, own = status.getPath().getName(), hidden or status.getPath().getName()[:1] in "._"
             if status.isDirectory():
-                if name not in IGNORED:
+                if name == ".git":
+                    exclude = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "info/exclude")
+                    if system.exists(exclude):
+                        out.append((exclude.getParent().getParent().getParent().toString() + "/.git/info/exclude", system.getFileStatus(exclude).getLen()))
+                elif name not in IGNORED:
                     todo.append((status.getPath(), own))
             elif own:
                 out.append((status.getPath().toString(), status.getLen()))

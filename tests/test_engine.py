@@ -1,5 +1,7 @@
 """Extraction and the engine end to end on a small tree."""
 
+import time
+
 import pytest
 
 from loomgraph.api import Engine
@@ -14,6 +16,20 @@ TREE = {
     "src/contracts.ts": "interface Handler { handle(x: string): void; }\nclass Concrete implements Handler { handle(x: string) { return 1; } }\n",
     "app/main.py": 'from fastapi import FastAPI\napp = FastAPI(prefix="/api")\n\ndef helper(a):\n    return a\n\n@app.get("/items")\ndef items():\n    return helper(1)\n\nclass A(Base):\n    def go(self):\n        return self.stop()\n    def stop(self):\n        pass\n',
     "app/base.py": "class Base:\n    pass\n",
+    "src/near.ts": 'import { formatMessage as f2 } from "./messages";\nimport { deep } from "@lib/deep";\nimport { shared } from "@acme/shared";\nexport function near() { f2("b"); deep(); shared(); }\n',
+    "lib/inner/deep.ts": "export function deep() {}\n",
+    "packages/shared/src/index.ts": "export function shared() {}\n",
+    "packages/shared/package.json": '{"name": "@acme/shared"}',
+    "package.json": '{"workspaces": ["packages/*"]}',
+    "tsconfig.json": '{"compilerOptions": {"paths": {"@lib/*": ["lib/inner/*"]}}}',
+    "src/run.ts": "function runIt(first: string, work: () => void) { work(); }\nfunction outer(job: () => void) { runIt('x', job); }\nfunction task() {}\nfunction start() { outer(task); }\n",
+    "app/users.py": 'from fastapi import APIRouter\nrouter = APIRouter(prefix="/users")\n\n@router.get("/{id}")\ndef show(id):\n    return id\n',
+    "app/site.py": 'from fastapi import FastAPI\nfrom .users import router as people\nfrom app import users\nsite = FastAPI()\nsite.include_router(people, prefix="/v1")\nsite.include_router(users.router, prefix="/v2")\n',
+    "app/hooks.py": "def each(items, fn):\n    for i in items:\n        fn(i)\n\ndef double(x):\n    return 2 * x\n\ndef go(items):\n    each(items, double)\n",
+    "c/main.c": '#include "util.h"\n#include <stdio.h>\nint main(void) { return helper_c(1); }\n',
+    "c/util.h": "static int helper_c(int x) { return x; }\n",
+    "ignored/x.ts": "export function neverSeen() {}\n",
+    ".gitignore": "ignored/\n",
     "README.md": "# Greeting service\nHow greetings are formatted.\n",
 }
 
@@ -42,6 +58,16 @@ def test_edges(engine):
     assert got["fire", "ready"].confidence == 0.92 and got["Handler.handle", "Concrete.handle"].confidence == 0.94
     assert got["items", "helper"].confidence == 0.99 and ("A.go", "A.stop") in got
     assert got["GET /api/items", "items"].confidence == 0.995
+    # relative path, alias, package, callback through two parameters, routers of another file, headers
+    assert [(b, got["near", b].confidence) for b in ("deep", "shared")] == [("deep", 0.97), ("shared", 0.97)]
+    assert got["runIt", "task"].confidence == 0.94 and got["each", "double"].confidence == 0.96
+    assert ("GET /v1/users/{id}", "show") in got and ("GET /v2/users/{id}", "show") in got
+    assert ("main", "helper_c") in got
+    s = {r.id: r for r in engine._read("symbols").collect()}
+    edges = {(s[r.source_id].name, s[r.target_id].name, r.kind): r for r in engine._read("relationships").collect()}
+    assert edges["src/near.ts", "formatMessage", "imports"].provenance == "project/relative-import"
+    assert ("c/main.c", "c/util.h", "imports") in edges and ("go", "double", "references") in edges
+    assert "neverSeen" not in {x.name for x in s.values()}
     kinds = {(r.kind) for r in engine._read("relationships").collect()}
     assert {"calls", "contains", "imports", "extends", "implements"} <= kinds
 
@@ -49,12 +75,14 @@ def test_edges(engine):
 def test_questions(engine):
     assert engine.search("formatMessage").first().name == "formatMessage"
     assert engine.content_search("greetings formatted").first().path == "README.md"
-    assert [r.name for r in engine.callers("formatMessage").collect()] == ["greet"]
+    assert {r.name for r in engine.callers("formatMessage").collect()} >= {"greet"}
     assert [r.qualified_name for r in engine.impact("helper").collect()] == ["items", "GET /api/items"]
     assert engine.trace_path("greet", "formatMessage").status == "found"
     assert [r.line for r in engine.node("app/base.py", limit=1).collect()] == ["class Base:"]
-    assert {r.path for r in engine.files(prefix="app/").collect()} == {"app/main.py", "app/base.py"}
+    assert {r.path for r in engine.files(prefix="app/").collect()} == {p for p in TREE if p.startswith("app/")}
     assert engine.status()["pending"] == 0
+    assert "def helper(a):" in engine.node_of("helper").first().text and "greet" in engine.explore_text("greet", 3)
+    assert len(engine.explore_text("greet", 3, most=60)) <= 60
     assert engine.research("greet", 5).count() > 0
     with pytest.raises(budget.BudgetError):
         engine.research("greet", 51)
@@ -90,3 +118,62 @@ def test_django_and_mounts():
     assert [(m["parent"], m["child"]) for m in facts["mounts"]] == [("r", "other")]
     routes = {s["name"] for s in facts["symbols"] if s["kind"] == "route"}
     assert routes == {"ROUTE /u/", "ROUTE /v", "VIEWSET /w"}
+
+
+SOURCES = {
+    "go": 'package main\nimport (\n  "fmt"\n  "example.com/svc/api"\n)\ntype Server struct {\n  n int\n}\nfunc (s *Server) Run(addr string) error {\n  s.start(addr)\n  return api.Serve(addr)\n}\nfunc main() {\n  NewServer().Run("x")\n}\nfunc NewServer() *Server { return nil }\n',
+    "rust": "use std::io::{Read, Write as W};\npub trait Shape { fn area(&self) -> f64; }\npub struct Circle { r: f64 }\nimpl Shape for Circle {\n  fn area(&self) -> f64 { self.helper() }\n}\nimpl Circle {\n  fn helper(&self) -> f64 { read_all(\"}\") }\n}\n",
+    "java": "import java.util.List;\npublic class Foo extends Base implements Bar, Baz {\n  public String run(List<String> xs, int k) throws IOException {\n    if (k > 0) { return helper(k); }\n    return new Other().go();\n  }\n}\n",
+    "csharp": "namespace N {\n public class Foo : Base {\n  public async Task<int> RunAsync(int x) {\n    return await Helper(x);\n  }\n }\n}\n",
+    "c": '#include "a.h"\n#define X(y) foo(y)\nstatic int add(int a, int b) {\n  return a + b;\n}\nint main(void) {\n  return add(1, 2);\n}\n',
+    "cpp": "class Foo : public Base {\n public:\n  int run(int x) const { return helper(x); }\n};\nint Foo::go(int y) {\n  return this->run(y);\n}\n",
+    "kotlin": "import a.b.Thing\nclass Foo(val x: Int) : Base() {\n  fun run(a: String): Int {\n    return helper(a)\n  }\n}\n",
+    "swift": "class Foo: Base {\n  func run(a: Int) -> Int {\n    return helper(a)\n  }\n}\nextension Foo: Other {\n  func more() { self.run(a: 1) }\n}\n",
+    "php": "<?php\nuse App\\Models\\User;\nclass Foo extends Base {\n  # it's\n  public function run($a) { return $this->helper($a); }\n}\n",
+    "dart": "import 'package:a/b.dart';\nclass Foo extends Base {\n  int run(int a) {\n    return helper(a);\n  }\n}\n",
+    "scala": "class Foo extends Base {\n  def run(a: Int): Int = {\n    helper(a)\n  }\n}\n",
+    "arkts": "@Component\nstruct Page {\n  build() {\n    Column() { this.row('x') }\n  }\n  row(t: string) {\n    helper(t)\n  }\n}\n",
+    "vue": '<template>\u00e9</template>\n<script setup lang="ts">\nfunction run() { helper(); }\n</script>\n',
+}
+
+
+@pytest.mark.parametrize("language", SOURCES)
+def test_languages(language):
+    f = extract.facts_of(f"src/f.{language}", language, SOURCES[language])
+    names = {s["id"]: s["qualified_name"] for s in f["symbols"]}
+    calls = {(names[c["caller_id"]], c["callee_name"]) for c in f["calls"]}
+    bases = {(names[r["source_id"]], r["target_name"]) for r in f["references"] if r["kind"] in ("extends", "implements")}
+    want = {
+        "go": ({("Server.Run", "start"), ("Server.Run", "Serve"), ("main", "NewServer"), ("main", "Run")}, set()),
+        "rust": ({("Circle.area", "helper"), ("Circle.helper", "read_all")}, {("Circle", "Shape")}),
+        "java": ({("Foo.run", "helper"), ("Foo.run", "Other"), ("Foo.run", "go")}, {("Foo", "Base"), ("Foo", "Bar"), ("Foo", "Baz")}),
+        "csharp": ({("Foo.RunAsync", "Helper")}, {("Foo", "Base")}),
+        "c": ({("main", "add")}, set()),
+        "cpp": ({("Foo.run", "helper"), ("Foo.go", "run")}, {("Foo", "Base")}),
+        "kotlin": ({("Foo.run", "helper")}, {("Foo", "Base")}),
+        "swift": ({("Foo.run", "helper"), ("Foo.more", "run")}, {("Foo", "Base"), ("Foo", "Other")}),
+        "php": ({("Foo.run", "helper")}, {("Foo", "Base")}),
+        "dart": ({("Foo.run", "helper")}, {("Foo", "Base")}),
+        "scala": ({("Foo.run", "helper")}, {("Foo", "Base")}),
+        "arkts": ({("Page.build", "Column"), ("Page.build", "row"), ("Page.row", "helper")}, set()),
+        "vue": ({("run", "helper")}, set()),
+    }[language]
+    assert calls >= want[0] and bases == want[1], (calls, bases)
+    assert not {c for _, c in calls} & {"if", "switch", "return"}
+    raw = SOURCES[language].encode()
+    for s in f["symbols"][1:]:  # spans are bytes of the source
+        assert s["name"].encode() in raw[s["start_byte"] : s["end_byte"]] or s["kind"] == "component"
+        assert s["start_line"] == raw[: s["start_byte"]].count(b"\n") + 1
+
+
+def test_long_arguments_and_files(spark):
+    handler = "f" * 500
+    source = f'bus.on("{"c" * 600}", {handler});\nfunction {handler}() {{}}\n'
+    event = extract.facts_of("a.js", "javascript", source)["events"][0]
+    assert event["channel"] == "c" * 600 and event["callback_name"] == handler
+    big = "\n".join(f"export function f{i}(a: number) {{ return g{i}(a); }}" for i in range(9000))
+    began = time.time()
+    facts = extract.facts_of("big.ts", "typescript", big + "\n// \u00e9")
+    assert len(facts["calls"]) == 9000 and time.time() - began < 10
+    rows = extract.extract(spark.createDataFrame([("a.js", "javascript", source), ("n.py", "python", None)], "path string, language string, source string"))
+    assert extract.tables(rows.cache())["events"].first().channel == "c" * 600

@@ -37,3 +37,27 @@ def test_registry_imports_without_the_optional_part():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = f"import sys; sys.path.insert(0, {root!r}); sys.modules['loomgraph.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'content_search' in q and not any(n.startswith('op') for n in q); assert 'pipeline' not in e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_workers_find_the_package_from_another_folder(tmp_path):
+    """A session started elsewhere, without this repository on its path."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import importlib.util, sys
+spec = importlib.util.spec_from_file_location("entry", {os.path.join(root, "__spark_entry__.py")!r})
+entry = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(entry)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+from loomgraph.plans.shipping import ship
+from loomgraph.sources import extract
+ship(spark)
+rows = spark.createDataFrame([("a.py", "python", "def f(): g()")], "path string, language string, source string")
+print("calls", extract.extract(rows).first().calls[0].callee_name)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "calls g" in done.stdout, done.stderr[-2000:]

@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from loomgraph.operators import resolve
 
 SYMBOL = "id string, language string, kind string, name string, qualified_name string, file string, start_line long"
@@ -64,7 +66,7 @@ def test_call_tiers(spark):
     got = sorted((e.evidence_line, e.target_id, e.confidence) for e in edges.collect())
     assert got == [(1, "loc", 0.99), (2, "imp", 0.97), (3, "any", 0.75), (4, "any1", 0.35), (4, "any2", 0.35), (6, "Am", 0.995), (7, "bm", 0.97)]
     words = {e.evidence_line: e.explanation for e in edges.collect()}
-    assert "through same-file lexical scope" in words[1] and "is a possible target" in words[4]
+    assert "in the same file" in words[1] and "maybe" in words[4]
 
 
 def test_call_on_a_result(spark):
@@ -146,3 +148,33 @@ def test_upsert_last_wins(spark):
     row = lambda c, x: spark.createDataFrame([("a", "b", "calls", "p", c, x, "f", 1, 0)], "source_id string, target_id string, kind string, provenance string, confidence double, explanation string, evidence_file string, evidence_line long, evidence_site long")
     got = resolve.upsert_edges([row(0.9, "old"), row(0.1, "new")]).collect()
     assert len(got) == 1 and got[0].explanation == "new"
+
+
+def test_targets_beyond_the_limit(spark):
+    seeds = [("full", t) for t in range(301)] + [("a", t) for t in range(200)] + [("b", t) for t in range(150, 350)] + [("own", t) for t in range(400, 700)]
+    flows = [("full", "x"), ("a", "y"), ("b", "y"), ("y", "z"), ("a", "w"), ("w", "w2"), ("a", "own"), ("a", "a")]
+    got = {}
+    for r in resolve.propagate_targets(spark.createDataFrame(seeds, "slot string, target int"), spark.createDataFrame(flows, "from_slot string, to_slot string")).collect():
+        got.setdefault(r.slot, set()).add(r.target)
+    # full keeps its seeds and passes none on; y and own get too many and end with none; z got nothing in the meantime
+    assert {k: len(v) for k, v in got.items()} == {"full": 301, "a": 200, "b": 200, "w": 200, "w2": 200}
+
+
+def test_common_names_need_a_place(spark):
+    """Names with many symbols: without a hint no answer, with one those of the place it names."""
+    symbols = [sym("me", "me", "main.ts")] + [sym(f"g{i}", "get", f"lib/m{i}.ts") for i in range(30)] + [sym("gi", "get", "pkg/index.ts"), sym("few1", "few", "p.ts"), sym("few2", "few", "q.ts")]
+    rows = [("1", "get", None), ("2", "get", "lib/m3"), ("3", "get", "m4"), ("4", "get", "lib"), ("5", "get", "./m5"), ("6", "few", None), ("7", "get", "lib/m6.ts"), ("8", "get", "pkg"), ("9", "get", "  "), ("10", "me", None)]
+    references = spark.createDataFrame([(i, "main.ts", "me", n, n, h, "imports", "p", 0.95, "x", "main.ts", int(i)) for i, n, h in rows], "ref_id string, file string, source_id string, target_name string, binding_name string, target_file_hint string, kind string, provenance string, confidence double, explanation string, evidence_file string, evidence_line long")
+    s = frames(spark, symbols)[0]
+    edges, _ = resolve.resolve_imports(references, s)
+    assert sorted((e.evidence_line, e.target_id, e.confidence) for e in edges.collect()) == [(2, "g3", 0.95), (3, "g4", 0.95), (6, "few1", 0.55), (6, "few2", 0.55), (7, "g6", 0.95), (8, "gi", 0.95)]
+
+
+def test_hint_keys_are_hint_matches(spark):
+    files = ["a.ts", "src/a.ts", "src/lib/index.ts", "index.ts", "x/y/z.py", "src/lib/b.c.ts", "./q.ts", "src/a"]
+    hints = ["a", "a.ts", "src", "src/a", "lib", "lib/index", "index", "y", "y/z", "x/y", "z", "b.c", "src/lib/b.c.ts", "./a", "../a", "'a'", " a ", "src\\a", "", "b", "lib/b.c", "q"]
+    rows = spark.createDataFrame([(f, h) for f in files for h in hints], "file string, hint string")
+    both = rows.select("file", "hint", resolve.hint_matches(F.col("hint"), F.col("file")).alias("plain"), F.array_contains(resolve.place_keys(F.col("file")), resolve.hint_key(F.col("hint"))).alias("key"))
+    for r in both.collect():
+        if r.hint:
+            assert bool(r.plain) == bool(r.key), r

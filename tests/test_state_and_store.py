@@ -35,6 +35,9 @@ def test_sessions(spark):
     again = state.save_recaps(first, texts, 50).first()
     assert (again.id, again.created_at_ms, again.updated_at_ms) == (first.first().id, 40, 50)
     assert state.recap_texts(s, events.limit(0)).first().summary == state.NO_EVENTS
+    assert state.get(w, "w2").name == "Two" and state.get(s, "s1").title == "T" and state.get(first, "s1", "session_id").event_count == 3
+    with pytest.raises(state.StateError):
+        state.get(w, "none")
 
 
 def test_memories(spark):
@@ -83,6 +86,46 @@ def test_epochs(spark, tmp_path):
     assert store.quarantine() and store.epoch == 0
 
 
+def test_one_of_two_writers_wins(spark, tmp_path):
+    stores = [epochs.EpochStore(spark, str(tmp_path / "store")) for _ in range(4)]
+    ends = []
+
+    def write(k):
+        try:
+            ends.append(stores[k].publish({"t": spark.range(k, k + 1)}, 0))
+        except epochs.EpochError:
+            ends.append(None)
+
+    threads = [threading.Thread(target=write, args=(k,)) for k in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(ends, key=str) == [1, None, None, None] and stores[0].epoch == 1 and stores[0].read("t").count() == 1
+    stores[0]._claim(2)  # a writer that died
+    with pytest.raises(epochs.EpochError):
+        stores[1].publish({"t": spark.range(9)}, 1)
+    stores[1].repair()
+    assert stores[1].publish({"t": spark.range(9)}, 1) == 2
+
+
+def test_backup_and_restore(spark, tmp_path):
+    store, copy, other = (epochs.EpochStore(spark, str(tmp_path / n)) for n in ("store", "copy", "other"))
+    store.publish({"t": spark.range(3)}, 0)
+    store.backup(copy.root)
+    assert copy.validate() == {"t": 3}
+    assert other.restore(copy.root) == 1 and other.read("t").count() == 3
+    store.publish({"t": spark.range(8)}, 1)
+    with pytest.raises(epochs.EpochError):
+        store.restore(copy.root)
+    assert store.restore(copy.root, force=True) == 3 and store.read("t").count() == 3
+    with pytest.raises(epochs.EpochError):
+        store.restore(str(tmp_path / "none"))
+    copy._fs.delete(copy._path(copy.meta()["tables"]["t"]), True)
+    with pytest.raises(epochs.EpochError):
+        copy.validate()
+
+
 def test_edges_of_deleted_files(spark):
     symbols = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "id string, file string")
     edges = spark.createDataFrame([("a", "b", "x"), ("b", "c", "y"), ("c", "c", "z"), ("c", "c", "y")], "source_id string, target_id string, evidence_file string")
