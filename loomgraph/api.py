@@ -41,9 +41,15 @@ class Engine:
             config = cut(modules.read_config(manifests))
             self.graph.publish(self._resolved(paths, config), self.graph.epoch, facts_epoch=after, setting=setting, model=MODEL_VERSION)
         texts = project.content_files(tree, rules)
-        sync(self.content, texts, lambda f: {"chunks": chunks.content_chunks(f)}, {"chunks": "path"}, force)
+        keys = dict.fromkeys(("chunks", "postings", "lengths"), "path")
+        sync(self.content, texts, self._content, keys, force, {"postings": search.by_token, "chunks": lambda t: t.orderBy("path", "ordinal")})
         return self.graph.epoch
 
+    @staticmethod
+    def _content(files: DataFrame) -> dict[str, DataFrame]:
+        made = cut(chunks.content_chunks(files))
+        return {"chunks": made} | search.search_index(made)
+
     def _tree(self) -> tuple[DataFrame, list[tuple[str, bool]]]:
         tree = project.tree(self.spark, self.root)
         return tree, project.ignore_files(tree, self.ignore)
@@ -109,7 +115,9 @@ class Engine:
         return search.symbol_search(self._read("symbols"), query, limit, kind)
 
     def content_search(self, query: str, limit: int = 10) -> DataFrame:
-        return search.content_search(self.content.read("chunks"), query, limit)
+        meta = self.content.meta()
+        index = {name: self.content.read(name, meta) for name in ("postings", "lengths")}
+        return search.indexed_search(index, self.content.read("chunks", meta), query, limit)
 
     def find_symbols(self, query: str) -> DataFrame:
         return graph.find_symbols(self._read("symbols"), query)

@@ -31,14 +31,18 @@ def _scored(rows: DataFrame, terms: list[str], keys: list[str], every: bool = Fa
     for h in hit:
         own = F.col(h) > 0
         condition = own if condition is None else condition & own if every else condition | own
-    matched = rows.where(condition).crossJoin(F.broadcast(stats))  # stats is one row
+    return _with_bm25(rows.where(condition), stats, len(terms)).select(*keys, "bm25")
+
+
+def _with_bm25(rows: DataFrame, stats: DataFrame, n_terms: int) -> DataFrame:
+    """Rows (__tf0 ..., __size) with their bm25; ``stats`` is the one row (__n, __avg, __tf0n ...)."""
     score = F.lit(0.0)
-    for h in hit:
-        n = F.col(f"{h}n")
+    for k in range(n_terms):
+        own, n = F.col(f"__tf{k}"), F.col(f"__tf{k}n")
         idf = F.log((F.col("__n") - n + 0.5) / (n + 0.5))
         idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-        score = score + idf * F.col(h) * (K1 + 1) / (F.col(h) + K1 * (1 - B + B * F.col("__size") / F.col("__avg")))
-    return matched.select(*keys, score.alias("bm25"))
+        score = score + idf * own * (K1 + 1) / (own + K1 * (1 - B + B * F.col("__size") / F.col("__avg")))
+    return rows.crossJoin(F.broadcast(stats)).withColumn("bm25", score)
 
 
 def content_search(chunks: DataFrame, query: str, limit: int = 10) -> DataFrame:
@@ -46,11 +50,14 @@ def content_search(chunks: DataFrame, query: str, limit: int = 10) -> DataFrame:
     budget.text(query, "content query")
     budget.limit(limit)
     terms = [w.lower() for w in T.split_words(query)]
-    rows = chunks.withColumn("tokens", F.concat(T.search_tokens(F.col("title")), T.search_tokens(F.col("text"))))
+    rows = chunks.withColumn("tokens", _chunk_tokens())
     if not terms:
         return rows.limit(0).select("path", "title", "text", "start_line", "end_line", F.lit(0.0).alias("score"))
     best = _scored(rows, terms, ["path", "ordinal"]).orderBy(F.desc("bm25"), "path", "ordinal").limit(4 * limit)
-    best = chunks.join(F.broadcast(best), ["path", "ordinal"])  # at most 4 * limit rows
+    return _boosted(chunks.join(F.broadcast(best), ["path", "ordinal"]), terms, limit)  # at most 4 * limit rows
+
+
+def _boosted(best: DataFrame, terms: list[str], limit: int) -> DataFrame:
     boost = F.lit(0.0)
     for t in terms:
         boost = boost + F.array_contains(T.content_terms(F.col("path")), t).cast("double") * 4 + F.array_contains(T.content_terms(F.col("title")), t).cast("double") * 2
@@ -109,5 +116,49 @@ def memory_search(memories: DataFrame, workspace_id: str, query: str, limit: int
 
 def postings(chunks: DataFrame) -> DataFrame:
     """The inverted index (token, path, ordinal, tf): for writing, sorted by token so that Parquet statistics prune prefix ranges."""
-    rows = chunks.select("path", "ordinal", F.explode(F.concat(T.search_tokens(F.col("title")), T.search_tokens(F.col("text")))).alias("token"))
+    rows = chunks.select("path", "ordinal", F.explode(_chunk_tokens()).alias("token"))
     return rows.groupBy("token", "path", "ordinal").agg(F.count("*").alias("tf"))
+
+
+def _chunk_tokens() -> Column:
+    return F.concat(T.search_tokens(F.col("title")), T.search_tokens(F.col("text")))
+
+
+def search_index(chunks: DataFrame) -> dict[str, DataFrame]:
+    """Tables that ``indexed_search`` reads: ``postings`` (token, path, ordinal, tf, size), a posting having its chunk's size, and ``lengths`` (path, chunks, tokens), a row per file."""
+    rows = chunks.select("path", "ordinal", _chunk_tokens().alias("tokens"))
+    sized = rows.select("path", "ordinal", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    made = sized.groupBy("token", "path", "ordinal", "size").agg(F.count("*").alias("tf"))
+    lengths = rows.groupBy("path").agg(F.count("*").alias("chunks"), F.sum(F.size("tokens")).cast("long").alias("tokens"))
+    return {"postings": made.select("token", "path", "ordinal", "tf", "size"), "lengths": lengths}
+
+
+def by_token(postings_: DataFrame) -> DataFrame:
+    """Postings in the order in which they are stored: a prefix is a range of tokens, so of files and row groups."""
+    return postings_.repartitionByRange("token").sortWithinPartitions("token", "path", "ordinal")
+
+
+def indexed_search(index: dict[str, DataFrame], chunks: DataFrame, query: str, limit: int = 10) -> DataFrame:
+    """``content_search`` from the tables of ``search_index``: the prefixes' ranges of the postings, a sum per chunk, the best 4 * limit, and only those chunks' texts."""
+    budget.text(query, "content query")
+    budget.limit(limit)
+    terms = [w.lower() for w in T.split_words(query)]
+    words = [T.split_words(T.fold_text(t)) for t in terms]
+    if not terms or any(len(w) != 1 for w in words):
+        return content_search(chunks, query, limit)
+    prefixes = [w[0] for w in words]
+    wanted = F.lit(False)
+    for p in dict.fromkeys(prefixes):
+        wanted = wanted | F.col("token").startswith(p)
+    hits = index["postings"].where(wanted)
+    tf = [F.sum(F.when(F.col("token").startswith(p), F.col("tf")).otherwise(0)).alias(f"__tf{k}") for k, p in enumerate(prefixes)]
+    rows = cut(hits.groupBy("path", "ordinal").agg(F.first("size").cast("double").alias("__size"), *tf))
+    corpus = index["lengths"].agg(F.sum("chunks").cast("double").alias("__n"), (F.sum("tokens") / F.sum("chunks")).alias("__avg"))
+    found = rows.agg(*(F.sum((F.col(f"__tf{k}") > 0).cast("double")).alias(f"__tf{k}n") for k in range(len(terms))))
+    best = _with_bm25(rows, corpus.crossJoin(found), len(terms)).select("path", "ordinal", "bm25").orderBy(F.desc("bm25"), "path", "ordinal").limit(4 * limit).collect()
+    if not best:
+        return _boosted(chunks.limit(0).withColumn("bm25", F.lit(0.0)), terms, limit)
+    # At most 4 * limit rows: their paths are a filter of the scan of the texts.
+    kept = chunks.sparkSession.createDataFrame([tuple(r) for r in best], "path string, ordinal long, bm25 double")
+    texts = chunks.where(F.col("path").isin(*{r["path"] for r in best}))
+    return _boosted(texts.join(F.broadcast(kept), ["path", "ordinal"]), terms, limit)

@@ -20,25 +20,27 @@ from ..sources.project import delta
 DEBOUNCE = "250 milliseconds"
 
 
-def sync(store: EpochStore, seen: DataFrame, build: Callable[[DataFrame], dict[str, DataFrame]], keys: dict[str, str], force: bool = False) -> int:
+def sync(store: EpochStore, seen: DataFrame, build: Callable[[DataFrame], dict[str, DataFrame]], keys: dict[str, str], force: bool = False, arrange: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> int:
     """Publishes the next version if files (path, content_hash, ...) differ from the store's ``files`` table.
 
     ``build(files)`` makes the tables of the changed files; ``keys`` names each table's file column.  Rows of
-    unchanged files are taken over.  Returns the current version's number.
+    unchanged files are taken over.  ``arrange`` puts tables in the order in which they are stored.  Returns the
+    current version's number.
     """
+    stored = lambda tables: {name: (arrange or {}).get(name, lambda t: t)(rows) for name, rows in tables.items()}
 
     def work(epoch: int) -> int:
         meta = store.meta()
         if "files" not in meta["tables"]:
             tables = build(seen) | {"files": seen.select("path", "content_hash")}
-            return store.publish(tables, epoch)
+            return store.publish(stored(tables), epoch)
         changes = cut(delta(seen, store.read("files", meta), force))
         if changes.isEmpty():
             return epoch
         fresh = seen.join(changes.where("change <> 'deleted'").select("path"), "path", "left_semi")
         made = build(fresh)
         tables = {name: replace_files(store.read(name, meta), changes, rows, keys[name]) for name, rows in made.items()}
-        return store.publish(tables | {"files": seen.select("path", "content_hash")}, epoch)
+        return store.publish(stored(tables) | {"files": seen.select("path", "content_hash")}, epoch)
 
     return store.with_retry(work)
 

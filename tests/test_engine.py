@@ -108,7 +108,7 @@ def test_duplicates_and_broken_files():
     own = [s for s in facts["symbols"] if s["name"] == "f"]
     assert [s["semantic_key"][-12:] for s in own] == ["|duplicate:0", "|duplicate:1"] and own[0]["id"] != own[1]["id"]
     assert len(extract.facts_of("b.py", "python", "def (")["symbols"]) == 1
-    assert len(extract.facts_of("c.go", "go", "func f() {}")["symbols"]) == 1
+    assert len(extract.facts_of("c.lua", "lua", "function f() end")["symbols"]) == 1
     assert extract.facts_of("n.py", "python", None)["calls"] == []
 
 

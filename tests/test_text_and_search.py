@@ -125,3 +125,24 @@ def test_memory_search_needs_all_terms(spark):
     df = spark.createDataFrame([("a", "w", "alpha beta", ["x"], 1, 1), ("b", "w", "alpha", ["beta"], 1, 2), ("c", "w", "alpha", [], 1, 3), ("d", "v", "alpha beta", [], 1, 4), ("e", "w", "foo_bar one", [], 1, 5), ("f", "w", "foo one bar", [], 1, 5)], "id string, workspace_id string, body string, tags array<string>, created_at_ms long, updated_at_ms long")
     assert {r.id for r in search.memory_search(df, "w", "alp bet").collect()} == {"a", "b"}
     assert {r.id for r in search.memory_search(df, "w", "foo_ba").collect()} == {"e"}
+
+
+def test_indexed_search_is_the_plain_one(spark):
+    import random
+
+    rnd = random.Random(2)
+    words = ["heat", "heater", "Lich", "über", "x_y", "tion", "a1", "the"]
+    rows = [(f"d{i % 7}/heat{i}.md", 0, rnd.choice(["", "Heat title"]), " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 30))), 1, 9) for i in range(120)]
+    chunks = spark.createDataFrame(rows, "path string, ordinal long, title string, text string, start_line long, end_line long").cache()
+    index = {k: v.cache() for k, v in search.search_index(chunks).items()}
+    for query in ("heat", "lich uber", "tion heat a", "nothing", "x_y", "!!"):
+        got, want = (r.collect() for r in (search.indexed_search(index, chunks, query, 9), search.content_search(chunks, query, 9)))
+        assert [(r.path, r.text, round(r.score, 9)) for r in got] == [(r.path, r.text, round(r.score, 9)) for r in want], query
+
+
+def test_indexed_search_reads_ranges_of_tokens(spark, tmp_path):
+    chunks = spark.createDataFrame([(f"f{i}", 0, "", f"word{i} other", 1, 1) for i in range(50)], "path string, ordinal long, title string, text string, start_line long, end_line long")
+    index = search.search_index(chunks)
+    search.by_token(index["postings"]).write.parquet(str(tmp_path / "p"))
+    plan = spark.read.parquet(str(tmp_path / "p")).where("startswith(token, 'word7')")._jdf.queryExecution().toString()
+    assert "StringStartsWith(token,word7)" in plan
