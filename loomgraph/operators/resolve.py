@@ -116,7 +116,7 @@ def counted(asked: DataFrame, target: DataFrame, on: list[str], most: int, fits:
     ``spare`` allows for candidates that drop out afterwards, such as the source itself.  ``fits`` may use columns of
     ``asked`` and ``target_language``; targets are counted per key and language before anything is paired.
     """
-    sums = target.join(asked.select(*on).distinct(), on, "left_semi").groupBy(*on, "target_language").agg(F.count("*").alias("__n"))
+    sums = target.groupBy(*on, "target_language").agg(F.count("*").alias("__n"))
     whole = asked.join(sums, on).where(fits).groupBy(*asked.columns).agg(F.sum("__n").alias("__n"))
     whole = cut(whole)
     few = whole.where(F.col("__n") <= most + spare).drop("__n")
@@ -127,9 +127,12 @@ def resolve_imports(references: DataFrame, symbols: DataFrame) -> tuple[DataFram
     """Edges and bindings (file, binding_name, target_id, confidence) of import references: up to 8 matches, 0.55 at most where there are several."""
     own = references.where("kind = 'imports' AND coalesce(target_file_hint, '') <> 'framework/arkui-entry'")
     source = symbols.select(F.col("id").alias("source_id"), F.col("language").alias("source_language"))
-    target = symbols.select(F.col("name").alias("target_name"), F.col("id").alias("target_id"), F.col("language").alias("target_language"), F.explode(place_keys(F.col("file"))).alias("place"), F.col("qualified_name").alias("target_qualified"))
+    target = symbols.select(F.col("name").alias("target_name"), F.col("id").alias("target_id"), F.col("language").alias("target_language"), "file", F.col("qualified_name").alias("target_qualified"))
     named = own.join(source, "source_id").withColumn("place", hint_key(F.col("target_file_hint"))).where("place IS NOT NULL")
-    asked = named.select("target_name", "place", "source_language").distinct()
+    asked = cut(named.select("target_name", "place", "source_language").distinct())
+    # Places are spelled out for symbols only whose name is asked for with one.
+    target = target.join(asked.select("target_name", (F.col("place") != "").alias("placed")).distinct(), "target_name")
+    target = target.withColumn("place", F.explode(F.when(F.col("placed"), F.filter(place_keys(F.col("file")), lambda k: k != "")).otherwise(F.array(F.lit(""))))).drop("file", "placed")
     found, _ = counted(asked, target, ["target_name", "place"], REFERENCE_FANOUT, compatible(F.col("source_language"), F.col("target_language")))
     rows = named.join(found.drop("target_language"), ["target_name", "place", "source_language"]).where(F.col("source_id") != F.col("target_id"))
     rows = rows.withColumn("n", _count_over("ref_id")).where(F.col("n") <= REFERENCE_FANOUT)

@@ -295,9 +295,11 @@ def resolve_imports(spark, sf):
     return resolve.resolve_imports(_references(spark, sf), P.symbols(spark, sf))[0].select("source_id", "target_id", "confidence")
 
 
-@query("resolve_function_references", f"WITH {_ASKED} SELECT 'o_' || l_orderkey AS source_id, target_id FROM cand WHERE n = 1")
+@query("resolve_function_references", f"WITH {_ASKED} SELECT 'o_' || l_orderkey AS source_id, target_id FROM cand WHERE n = 1 UNION ALL SELECT 'c_' || o_custkey, 'o_' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey")
 def resolve_function_references(spark, sf):
-    asked = _references(spark, sf).withColumn("kind", F.lit("references"))
+    asked = _references(spark, sf)
+    own = P.read(spark, sf, "orders").select(F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")).alias("n"), F.concat(F.lit("c_"), F.col("o_custkey").cast("string")).alias("c"))
+    asked = asked.union(own.select(F.concat(F.lit("r"), "n"), F.lit("customer"), "c", "n", "n", F.lit(None).cast("string"), F.lit("imports"), F.lit("import"), F.lit(0.95), F.lit("references"), F.lit("customer"), F.lit(1).cast("long"))).withColumn("kind", F.lit("references"))
     none = spark.createDataFrame([], "file string, binding_name string, target_id string, confidence double")
     return resolve.resolve_function_references(asked, P.symbols(spark, sf), none).select("source_id", "target_id")
 
@@ -343,21 +345,22 @@ def resolve_calls_by_language(spark, sf):
 
 @query(
     "interface_dispatch",
-    """WITH c AS (SELECT c_nationkey, c_mktsegment, c_custkey, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS n FROM customer)
-SELECT 'i' || c_nationkey || c_mktsegment AS source_id, 'm' || c_custkey AS target_id FROM c WHERE n <= 8""",
+    """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'n' || c_nationkey ELSE 'k' || (c_custkey // 9) END AS g FROM customer), n AS (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM c)
+SELECT 'i' || g AS source_id, 'm' || c_custkey AS target_id FROM n WHERE n <= 8""",
 )
 def interface_dispatch(spark, sf):
-    c = P.read(spark, sf, "customer")
-    nation = F.concat(F.lit("N"), F.col("c_nationkey").cast("string"))
-    columns = lambda i, name, q, f, kind: [i.alias("id"), name.alias("name"), q.alias("qualified_name"), F.lit(f).alias("file"), F.lit(kind).alias("kind"), F.lit(1).alias("start_line")]
-    segment = F.col("c_mktsegment")
+    """A third of the customers implement their nation's interface, which soon is too wide, the others one of a few of them."""
     key = F.col("c_custkey").cast("string")
-    declared = c.select("c_nationkey", "c_mktsegment").distinct()
-    symbols = declared.select(*columns(F.concat(F.lit("i"), F.col("c_nationkey").cast("string"), segment), segment, F.concat(nation, F.lit("."), segment), "nation", "method"))
-    symbols = symbols.union(c.select(*columns(F.concat(F.lit("m"), key), segment, F.concat(F.lit("C"), key, F.lit("."), segment), "customer", "method")))
-    symbols = symbols.union(declared.select("c_nationkey").distinct().select(*columns(nation, nation, nation, "nation", "interface")))
-    symbols = symbols.union(c.select(*columns(F.concat(F.lit("C"), key), F.concat(F.lit("C"), key), F.concat(F.lit("C"), key), "customer", "class")))
-    heritage = c.select(F.concat(F.lit("C"), key).alias("source_id"), nation.alias("target_id"), F.lit("implements").alias("kind"))
+    group = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))).otherwise(F.concat(F.lit("k"), F.floor(F.col("c_custkey") / 9).cast("string")))
+    c = P.read(spark, sf, "customer").select(key.alias("k"), group.alias("g"))
+    columns = lambda i, name, q, f, kind: [i.alias("id"), name.alias("name"), q.alias("qualified_name"), F.lit(f).alias("file"), F.lit(kind).alias("kind"), F.lit(1).alias("start_line")]
+    g, owner, own = F.col("g"), F.concat(F.lit("I"), "g"), F.concat(F.lit("C"), "k")
+    declared = c.select("g").distinct()
+    symbols = declared.select(*columns(F.concat(F.lit("i"), g), g, F.concat(owner, F.lit("."), g), "nation", "method"))
+    symbols = symbols.union(c.select(*columns(F.concat(F.lit("m"), "k"), g, F.concat(own, F.lit("."), g), "customer", "method")))
+    symbols = symbols.union(declared.select(*columns(owner, owner, owner, "nation", "interface")))
+    symbols = symbols.union(c.select(*columns(own, own, own, "customer", "class")))
+    heritage = c.select(own.alias("source_id"), owner.alias("target_id"), F.lit("implements").alias("kind"))
     return resolve.interface_dispatch(symbols, heritage).select("source_id", "target_id")
 
 
@@ -558,8 +561,8 @@ def resolve_modules(spark, sf):
 
 @query(
     "resolve_calls_by_place",
-    """WITH t AS (SELECT 'C' || c_custkey || '.seg' || (c_custkey % 7) AS q, 'm' || c_custkey AS id, 'dir' || c_nationkey || '/f' || c_custkey AS stem, 'seg' || (c_custkey % 7) AS name, c_nationkey AS n FROM customer),
-asked AS (SELECT DISTINCT o_custkey % 40 AS k, 'seg' || (o_orderkey % 7) AS name FROM orders),
+    """WITH t AS (SELECT 'C' || c_custkey || '.seg' || (c_custkey % 7) AS q, 'm' || c_custkey AS id, 'seg' || (c_custkey % 7) AS name, c_custkey // 20 AS n FROM customer),
+asked AS (SELECT DISTINCT o_custkey // 20 AS k, 'seg' || (o_orderkey % 7) AS name FROM orders),
 met AS (SELECT k, name, id, count(*) OVER (PARTITION BY k, name) AS n FROM asked JOIN t USING (name) WHERE t.n = k)
 SELECT 'caller' AS source_id, id AS target_id, CAST(k AS BIGINT) AS evidence_line, CASE WHEN n = 1 THEN 0.995 ELSE 0.65 END AS confidence FROM met WHERE n <= 6""",
 )
@@ -567,9 +570,9 @@ def resolve_calls_by_place(spark, sf):
     """Calls with a module hint, of names that many symbols have: only those of the place count (tier 0)."""
     c, o = P.read(spark, sf, "customer"), P.read(spark, sf, "orders")
     key, seg = F.col("c_custkey").cast("string"), F.concat(F.lit("seg"), (F.col("c_custkey") % 7).cast("string"))
-    symbols = c.select(F.concat(F.lit("m"), key).alias("id"), F.lit("ts").alias("language"), F.lit("method").alias("kind"), seg.alias("name"), F.concat(F.lit("C"), key, F.lit("."), seg).alias("qualified_name"), F.concat(F.lit("dir"), F.col("c_nationkey").cast("string"), F.lit("/f"), key, F.lit(".ts")).alias("file"))
+    symbols = c.select(F.concat(F.lit("m"), key).alias("id"), F.lit("ts").alias("language"), F.lit("method").alias("kind"), seg.alias("name"), F.concat(F.lit("C"), key, F.lit("."), seg).alias("qualified_name"), F.concat(F.lit("dir"), F.floor(F.col("c_custkey") / 20).cast("string"), F.lit("/f"), key, F.lit(".ts")).alias("file"))
     caller = spark.range(1).select(F.lit("caller").alias("id"), F.lit("ts").alias("language"), F.lit("function").alias("kind"), F.lit("caller").alias("name"), F.lit("caller").alias("qualified_name"), F.lit("main.ts").alias("file"))
-    asked = o.select((F.col("o_custkey") % 40).alias("k"), F.concat(F.lit("seg"), (F.col("o_orderkey") % 7).cast("string")).alias("name")).distinct()
+    asked = o.select(F.floor(F.col("o_custkey") / 20).alias("k"), F.concat(F.lit("seg"), (F.col("o_orderkey") % 7).cast("string")).alias("name")).distinct()
     null = lambda kind: F.lit(None).cast(kind)
     calls = asked.select(F.concat_ws("#", F.col("k").cast("string"), "name").alias("call_id"), F.lit("main.ts").alias("file"), F.lit("caller").alias("caller_id"), null("string").alias("fallback_caller_id"), F.col("name").alias("callee_name"), null("string").alias("receiver_binding"), null("string").alias("receiver_type"), null("long").alias("receiver_call_start_byte"), F.concat(F.lit("dir"), F.col("k").cast("string")).alias("target_file_hint"), F.lit("syntax/call").alias("provenance"), F.lit(1.0).alias("confidence"), F.lit("call").alias("explanation"), F.lit(True).alias("resolvable"), F.lit("main.ts").alias("evidence_file"), F.col("k").cast("long").alias("evidence_line"), F.lit(0).cast("long").alias("start_byte"))
     bindings = spark.createDataFrame([], "file string, binding_name string, target_id string, confidence double")
