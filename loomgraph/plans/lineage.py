@@ -46,10 +46,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """``cut`` by a Parquet table, which is smaller than a checkpoint, is read by columns and goes by ``forget``."""
+#: Tasks per core that write a table made by a shuffle.
+WAVES = 4
+
+
+def keep(df: DataFrame, shuffled: bool = False) -> DataFrame:
+    """``cut`` by a Parquet table, which is smaller than a checkpoint, is read by columns and goes by ``forget``.
+
+    ``shuffled``: rows that come from a shuffle, whose partitions may be many and small.  They are
+    written in at most ``WAVES`` files a core; a task takes its partitions one after another.
+    """
     spark = df.sparkSession
     folder = shared_folder(spark, "table")
+    if shuffled:
+        df = df.coalesce(WAVES * spark.sparkContext.defaultParallelism)
     df.write.mode("overwrite").parquet(folder)
     table = spark.read.schema(df.schema).parquet(folder)
     table._kept_in = folder
