@@ -152,7 +152,7 @@ def classes_of(documents: DataFrame, id_col: str, text_col: str) -> tuple[DataFr
 
     members = keep(rows.mapInArrow(run, f"doc_id {id_type}, key binary, shingles long, minima binary"))
     classes = members.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("shingles").alias("shingles"), F.first("minima").alias("minima"))
-    return members, keep(classes.select(F.monotonically_increasing_id().alias("cid"), "key", "rep", "n", "shingles", "minima"))
+    return members, keep(classes.select(F.monotonically_increasing_id().alias("cid"), "key", "rep", "n", "shingles", "minima"), shuffled=True)
 
 
 def key_of(text: bytes) -> bytes | None:
@@ -202,7 +202,7 @@ def _sizes(level: DataFrame) -> DataFrame:
     """(path, size, shingles, s, x) of the buckets of two classes or more; s and x tell sets of members apart."""
     member = F.xxhash64("cid")
     found = level.groupBy("path").agg(F.count("*").alias("size"), F.sum("shingles").alias("shingles"), F.sum(F.pmod(member, F.lit(1_000_003_579))).alias("s"), F.bit_xor(member).alias("x"))
-    return keep(found.where("size > 1"))
+    return keep(found.where("size > 1"), shuffled=True)
 
 
 def _meet(level: DataFrame, paths: DataFrame, key: str = "path", how: str = "inner") -> DataFrame:
@@ -225,7 +225,7 @@ def _drawn(level: DataFrame, large: DataFrame) -> DataFrame:
     least = [F.min(h).alias(f"m{k}") for k, h in enumerate(hashed[:MARKS])]
     rows = _meet(level.select("path", "cid"), large.select("path"), how="left_semi")
     told = rows.groupBy("path").agg(*least, F.array(*(F.min_by("cid", h) for h in hashed)).alias("drawn"))
-    return keep(told.join(large.select("path", "size", "shingles"), "path"))
+    return keep(told.join(large.select("path", "size", "shingles"), "path"), shuffled=True)
 
 
 def _alike_ones(drawn: DataFrame, classes: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def _alike_ones(drawn: DataFrame, classes: DataFrame) -> DataFrame:
                 alike.append(bool((((m[a] == m[b]) & (m[a] != _EMPTY)).sum(1) / used).mean() >= SPLIT_AT))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(alike)], ["path", "alike"])
 
-    return keep(told.mapInArrow(run, "path long, alike boolean"))
+    return keep(told.mapInArrow(run, "path long, alike boolean"), shuffled=True)
 
 
 def leaves_of(classes: DataFrame, runs: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -259,7 +259,7 @@ def leaves_of(classes: DataFrame, runs: int) -> tuple[DataFrame, list[DataFrame]
             alike.append(_alike_ones(drawn[-1], classes))
             split = alike[-1].where("NOT alike").select("path")
             if depth == 1:
-                deeper = keep(_deeper(level, split, classes))
+                deeper = keep(_deeper(level, split, classes), shuffled=True)
                 levels.append(deeper.where("parent IS NULL").drop("parent"))
             else:
                 levels.append(keep(_meet(deeper.where("parent IS NOT NULL"), split, "parent", "left_semi").drop("parent")))
@@ -268,7 +268,7 @@ def leaves_of(classes: DataFrame, runs: int) -> tuple[DataFrame, list[DataFrame]
     small = found.where(~large).groupBy("size", "s", "x").agg(F.min("path").alias("path"), F.first("shingles").alias("shingles"))
     out = _meet(every, found.where(large).select("path"), how="left_anti").join(small.select("path", "size", "shingles"), "path")
     unsplit = [d.join(a.where("alike"), "path", "left_semi") for d, a in zip(drawn, alike, strict=False)] + drawn[-1:]
-    names = keep(_joined(_union(unsplit)))
+    names = keep(_joined(_union(unsplit)), shuffled=True)
     joined = _meet(every, names).select(F.col("to.path").alias("path"), "cid", F.col("to.size").alias("size"), F.col("to.shingles").alias("shingles"))
     return out.unionByName(joined), [level, deeper, *levels[2:], names, *sizes, *drawn, *alike]
 
@@ -521,7 +521,7 @@ def components(edges: DataFrame) -> DataFrame:
         own = Window.partitionBy("u")
         once = once.select("u", "v", F.min("v").over(own).alias("m"), F.max("moved").over(own).alias("moved"))
         stays = F.col("v") == F.col("m")
-        edges = keep(once.select(F.when(stays, F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), (~stays | F.col("moved")).alias("moved")))
+        edges = keep(once.select(F.when(stays, F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), (~stays | F.col("moved")).alias("moved")), shuffled=True)
         if last is not None:
             forget(last)
         last = edges
@@ -534,9 +534,9 @@ def _judged(documents: DataFrame, similarity: float, recall: float, id_col: str,
     """(doc_id, key) of the rows with an id, and per class (key, copy_id, n, n_class_links, n_doc_links, class_id, class_key), the last two null where it has no link."""
     members, classes = classes_of(documents, id_col, text_col)
     leaves, used = leaves_of(classes, runs_for(similarity, recall))
-    pairs = keep(candidates(leaves, classes, similarity))
+    pairs = keep(candidates(leaves, classes, similarity), shuffled=True)
     forget(*used)
-    found = keep(links(documents, pairs, similarity, id_col, text_col))
+    found = keep(links(documents, pairs, similarity, id_col, text_col), shuffled=True)
     forget(pairs)
     node = lambda key, rep: F.struct(F.col(rep).alias("rep"), F.col(key).alias("key"))
     group = components(found.select(node("key", "rep").alias("u"), node("root_key", "root_rep").alias("v")))
@@ -548,7 +548,7 @@ def _judged(documents: DataFrame, similarity: float, recall: float, id_col: str,
     linked = found.select("key", none.cast(id_type).alias("copy_id"), none.cast("long").alias("n"), "n_class_links", "n_doc_links", none.cast(root_type).alias("root"))
     rooted = group.select("node.key", none.cast(id_type).alias("copy_id"), none.cast("long").alias("n"), *zero, "root")
     told = parts.union(linked).union(rooted).groupBy("key").agg(F.max("copy_id").alias("copy_id"), F.max("n").alias("n"), F.sum("n_class_links").alias("n_class_links"), F.sum("n_doc_links").alias("n_doc_links"), F.max("root").alias("root"))
-    told = keep(told.select("key", "copy_id", "n", "n_class_links", "n_doc_links", F.col("root.rep").alias("class_id"), F.col("root.key").alias("class_key")))
+    told = keep(told.select("key", "copy_id", "n", "n_class_links", "n_doc_links", F.col("root.rep").alias("class_id"), F.col("root.key").alias("class_key")), shuffled=True)
     forget(classes, found)
     return members.select("doc_id", "key"), told
 
