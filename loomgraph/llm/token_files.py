@@ -22,17 +22,18 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder, texts_of
 from .textscan import slices
-from .workspace import cut, shared_folder
+from .workspace import shared_folder
 
 ROWS_PER_BATCH = 64
 
@@ -109,10 +110,11 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer_path: str, en
             index_sink.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{stem}.arrow"], "index_path": [f"{stem}.index.arrow"], "n_docs": [n_docs], "n_ids": [n_ids]})
 
-    files = cut(rows.mapInArrow(run, "part long, path string, index_path string, n_docs long, n_ids long"))
-    # One row per file: the window's single partition holds no document.
-    before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    return files.withColumn("first_id", F.coalesce(before, F.lit(0)).cast("long"))
+    # One row per file comes to the driver, no document; what is listed has been written.
+    schema = "part long, path string, index_path string, n_docs long, n_ids long"
+    listed = sorted((tuple(r) for r in rows.mapInArrow(run, schema).collect()), key=lambda r: r[0])
+    before = [0, *accumulate(r[4] for r in listed)]
+    return documents.sparkSession.createDataFrame([(*r, first) for r, first in zip(listed, before, strict=False)], f"{schema}, first_id long")
 
 
 class TokenFile:
