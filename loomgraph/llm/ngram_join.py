@@ -178,7 +178,8 @@ def _level_one(classes: DataFrame, runs: int) -> DataFrame:
 
 def _deeper(level: DataFrame, big: DataFrame, classes: DataFrame) -> DataFrame:
     """(parent, path, cid, shingles): the splits of the ``big`` buckets of the first level, whose parent is null, and the splits of those again."""
-    paths = _meet(level, big, how="left_semi").groupBy("cid").agg(F.collect_list("path").alias("paths"))  # bounded by the runs and splits
+    own = _meet(level.withColumnRenamed("path", "parent"), big, "parent", "left_semi")
+    paths = own.groupBy("cid").agg(F.collect_list("parent").alias("paths"))  # bounded by the runs and splits
     rows = paths.join(classes.select("cid", "shingles", "minima"), "cid").select("cid", "shingles", "minima", "paths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
