@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textscan import slices, utf8
+from .textscan import slices, tidy, utf8
 
 BLOCK_BYTES, KEPT = 2_000_000, 2
 _NORMAL = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -177,7 +177,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str
 
         schema = f"`{id_col}` {id_type}, text string, n_words long, runs {run_type}, spans {run_type}, items array<string>"
         names = [id_col, "text", "n_words", "runs", "spans", "items"]
-        rows = rows.mapInArrow(run, schema)
+        rows = rows.mapInArrow(tidy(run), schema)
     return rows.drop("text")
 
 
@@ -208,5 +208,5 @@ def clean(documents: DataFrame, benchmark: DataFrame, size: int = 10, text_col:
             for batch in slices(batches, text_col):
                 yield batch.filter(pa.array([not found_by.scan(words(t))[0] for t in batch.column(at).to_pylist()]))
 
-        documents = documents.mapInArrow(run, fields)
+        documents = documents.mapInArrow(tidy(run), fields)
     return documents

@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textscan import mix64, ragged, slices, span_hash, utf8
+from .textscan import mix64, ragged, slices, span_hash, tidy, utf8
 from .workspace import forget, keep
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
@@ -150,7 +150,7 @@ def classes_of(documents: DataFrame, id_col: str, text_col: str) -> tuple[DataFr
             keys, minima = [key_of(t) for t in texts], embed(hashes, bounds)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(np.diff(bounds)), pa.array([m.tobytes() if k else None for m, k in zip(minima, keys, strict=True)], pa.binary())], ["doc_id", "key", "shingles", "minima"])
 
-    members = keep(rows.mapInArrow(run, f"doc_id {id_type}, key binary, shingles long, minima binary"))
+    members = keep(rows.mapInArrow(tidy(run), f"doc_id {id_type}, key binary, shingles long, minima binary"))
     classes = members.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("shingles").alias("shingles"), F.first("minima").alias("minima"))
     return members, keep(classes.select(F.monotonically_increasing_id().alias("cid"), "key", "rep", "n", "shingles", "minima"), shuffled=True)
 
@@ -173,7 +173,7 @@ def _level_one(classes: DataFrame, runs: int) -> DataFrame:
                     taken = pa.array(source)
                     yield pa.RecordBatch.from_arrays([pa.array(sub.view(np.int64)), part.column(0).take(taken), part.column(1).take(taken)], ["path", "cid", "shingles"])
 
-    return classes.select("cid", "shingles", "minima").mapInArrow(run, "path long, cid long, shingles long")
+    return classes.select("cid", "shingles", "minima").mapInArrow(tidy(run), "path long, cid long, shingles long")
 
 
 def _deeper(level: DataFrame, big: DataFrame, classes: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def _deeper(level: DataFrame, big: DataFrame, classes: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([from_, pa.array(sub.view(np.int64)), part.column(0).take(taken), part.column(1).take(taken)], ["parent", "path", "cid", "shingles"])
                     path, parent, owner = sub, path, owner[source]
 
-    return rows.mapInArrow(run, "parent long, path long, cid long, shingles long")
+    return rows.mapInArrow(tidy(run), "parent long, path long, cid long, shingles long")
 
 
 def _sizes(level: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def _alike_ones(drawn: DataFrame, classes: DataFrame) -> DataFrame:
                 alike.append(bool((((m[a] == m[b]) & (m[a] != _EMPTY)).sum(1) / used).mean() >= SPLIT_AT))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(alike)], ["path", "alike"])
 
-    return keep(told.mapInArrow(run, "path long, alike boolean"), shuffled=True)
+    return keep(told.mapInArrow(tidy(run), "path long, alike boolean"), shuffled=True)
 
 
 def leaves_of(classes: DataFrame, runs: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -359,7 +359,7 @@ def candidates(leaves: DataFrame, classes: DataFrame, similarity: float) -> Data
             small = np.where(minima == _EMPTY, 255, minima % 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([m.tobytes() for m in small], pa.binary()) if k == 4 else c for k, c in enumerate(batch.columns)], batch.schema.names)
 
-    rows = rows.mapInArrow(narrow, ", ".join(f"{k} {v}" for k, v in fields.items()))
+    rows = rows.mapInArrow(tidy(narrow), ", ".join(f"{k} {v}" for k, v in fields.items()))
     rows = rows.select("*", F.explode("at").alias("leaf")).select("cid", "key", "rep", "n", "minima", "leaves", "leaf.*")
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("cid", "path"), blocks).cast("long"))
@@ -399,7 +399,7 @@ def candidates(leaves: DataFrame, classes: DataFrame, similarity: float) -> Data
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     names = ["path", "i", "j", "rank", "key", "rep", "n", "partners"]
-    return rows.mapInArrow(run, f"path long, i long, j long, rank long, key binary, rep {fields['rep']}, n long, partners binary")
+    return rows.mapInArrow(tidy(run), f"path long, i long, j long, rank long, key binary, rep {fields['rep']}, n long, partners binary")
 
 
 def _bits(ids: DataFrame) -> tuple[bytes, int]:
@@ -466,7 +466,7 @@ def links(documents: DataFrame, pairs: DataFrame, similarity: float, id_col: str
                 own = [np.unique(hashes[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([key_of(t) for t in texts], pa.binary()), pa.array(own, pa.binary())], ["rep", "key", "own"])
 
-    found = rows.mapInArrow(sets, f"rep {id_type}, key binary, own binary")
+    found = rows.mapInArrow(tidy(sets), f"rep {id_type}, key binary, own binary")
     wide = pairs.join(found, ["key", "rep"]).select("path", "i", "j", "rank", "key", "rep", "n", "partners", "own")
     wide = wide.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j", "rank")
 
@@ -501,7 +501,7 @@ def links(documents: DataFrame, pairs: DataFrame, similarity: float, id_col: str
                 taken, top = pa.array(rows), pa.array(by_name[root[rows]])
                 yield pa.RecordBatch.from_arrays([group.column(4).take(taken), group.column(5).take(taken), pa.array(near[rows]), pa.array(docs[rows]), group.column(4).take(top), group.column(5).take(top)], ["key", "rep", "n_class_links", "n_doc_links", "root_key", "root_rep"])
 
-    return wide.mapInArrow(run, f"key binary, rep {id_type}, n_class_links long, n_doc_links long, root_key binary, root_rep {id_type}")
+    return wide.mapInArrow(tidy(run), f"key binary, rep {id_type}, n_class_links long, n_doc_links long, root_key binary, root_rep {id_type}")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -587,7 +587,7 @@ def one_of_each(documents: DataFrame, similarity: float = SIMILARITY, recall: fl
             keys = [key_of(t) for t in normalised(raw.tobytes(), offs)[0]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, "__key"])
 
-    rows = documents.mapInArrow(keyed, f"{fields}, `__key` binary").withColumn("__id", F.col(id_col))
+    rows = documents.mapInArrow(tidy(keyed), f"{fields}, `__key` binary").withColumn("__id", F.col(id_col))
     judged = F.col("__key").isNotNull() & F.col("__id").isNotNull()
     one = rows.where(judged).join(kept, ["__key", "__id"], "left_semi").dropDuplicates(["__key", "__id"])
     return one.select(*documents.columns).union(rows.where(~judged).select(*documents.columns))

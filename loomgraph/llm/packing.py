@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder, texts_of
-from .textscan import slices
+from .textscan import slices, tidy
 from .workspace import keep
 
 UNIT, DEPTH = 8, 3
@@ -181,7 +181,7 @@ def pieces(documents: DataFrame, tokenizer_path: str, window: int, end_id: int,
                 columns, names = [*columns, pa.array(raw, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.mapInArrow(run, f"`{id_col}` {id_type}, start long, length long, ids_crc32 long, doc_tokens long, part long, units long, number long" + ", ids binary" * with_ids)
+    return rows.mapInArrow(tidy(run), f"`{id_col}` {id_type}, start long, length long, ids_crc32 long, doc_tokens long, part long, units long, number long" + ", ids binary" * with_ids)
 
 
 def assign(made: DataFrame, window: int, depth: int = DEPTH) -> DataFrame:
@@ -210,7 +210,7 @@ def assign(made: DataFrame, window: int, depth: int = DEPTH) -> DataFrame:
                 place[at] = slot[run_no]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequence), pa.array(place)], [*batch.schema.names, "sequence_id", "place"])
 
-    placed = ranked.mapInArrow(run, f"{fields}, sequence_id long, place long").drop("rank", "units")
+    placed = ranked.mapInArrow(tidy(run), f"{fields}, sequence_id long, place long").drop("rank", "units")
     offset = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
     placed = placed.withColumn("offset", F.coalesce(offset, F.lit(0)).cast("long"))
     return placed.select(*(c for c in placed.columns if c != "place"), "place")
@@ -230,7 +230,7 @@ def _unpressed(packed: DataFrame) -> DataFrame:
                 ids = [codec.decompress(x, 4 * n, asbytes=True) for x, n in zip(part.column(at).to_pylist(), part.column(size).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()) if k == at else c for k, c in enumerate(part.columns)], names)
 
-    return packed.mapInArrow(run, fields)
+    return packed.mapInArrow(tidy(run), fields)
 
 
 def pack(documents: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -263,7 +263,7 @@ def sequences(packed: DataFrame, window: int = 2048, id_col: str = "doc_id", com
                     out.append(raw if n & (n - 1) == 0 else raw.ljust(4 * window, b"\0"))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary()), part.column(4)], ["sequence_id", "n_ids", "input_ids", "pieces"])
 
-    made = rows.mapInArrow(run, f"sequence_id long, n_ids long, input_ids binary, pieces {piece_type}")
+    made = rows.mapInArrow(tidy(run), f"sequence_id long, n_ids long, input_ids binary, pieces {piece_type}")
     return made.select("sequence_id", "n_ids", "input_ids", F.transform("pieces", lambda p: p["offset"]).alias("piece_starts"), "pieces")
 
 

@@ -8,7 +8,9 @@ about ``SLICE_BYTES`` so that memory follows the slice, not the Arrow batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,22 @@ _ipow = np.ones(1, np.uint64)
 SYMBOLS = np.random.default_rng(20240607).integers(1, 1 << 63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def tidy(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A partition's function that gives memory back to the system at its end: a Python worker may wait long for its next task."""
+
+    @functools.wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+            if trim is not None:
+                trim(0)
+
+    return inner
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Bijective finaliser over uint64 arrays."""
     h = h ^ (h >> np.uint64(33))

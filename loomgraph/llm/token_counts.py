@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Pretokens, _spec, texts_of
-from .textscan import ragged, slices
+from .textscan import ragged, slices, tidy
 
 _NONE = np.int64(1) << 40
 CACHE = 500_000
@@ -171,4 +171,4 @@ def token_counts(documents: DataFrame, tokenizer_path: str, limit: int = 512, id
             size = [len(t.encode()) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(n), pa.array(n > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {id_type}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` {id_type}, n_bytes long, n_tokens long, over_limit boolean")

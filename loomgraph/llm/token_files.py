@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder, texts_of
-from .textscan import slices
+from .textscan import slices, tidy
 from .workspace import shared_folder
 
 ROWS_PER_BATCH = 64
@@ -112,7 +112,7 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer_path: str, en
 
     # One row per file comes to the driver, no document; what is listed has been written.
     schema = "part long, path string, index_path string, n_docs long, n_ids long"
-    listed = sorted((tuple(r) for r in rows.mapInArrow(run, schema).collect()), key=lambda r: r[0])
+    listed = sorted((tuple(r) for r in rows.mapInArrow(tidy(run), schema).collect()), key=lambda r: r[0])
     before = [0, *accumulate(r[4] for r in listed)]
     return documents.sparkSession.createDataFrame([(*r, first) for r, first in zip(listed, before, strict=False)], f"{schema}, first_id long")
 
@@ -167,7 +167,7 @@ def read_token_files(files: DataFrame, id_col: str = "doc_id", id_type: str = "l
 
     # A row names a whole file, so each wants a task of its own.
     per_file = files.select("path", "index_path", "first_id", "part").repartitionByRange(max(files.count(), 1), "part")
-    return per_file.mapInArrow(run, f"`{id_col}` {id_type}, start long, n_tokens long, ids_crc32 long")
+    return per_file.mapInArrow(tidy(run), f"`{id_col}` {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(documents: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
