@@ -5,10 +5,11 @@
 provenance, evidence_file, evidence_line, evidence_site.
 
 Traversals go level by level: one join of the edges with the frontier a level.
-The frontier is never larger than the node limit (checked each level), which is
-what allows it to be broadcast, so the edge table is scanned, not shuffled.  A
-level is never cut: its edges are counted whole, and one that breaks the edge limit
-is an error before anything is answered from it.
+A frontier of at most ``BROADCAST_ROWS`` is broadcast, so the edge table is scanned,
+not shuffled; a larger one is joined by a shuffle.  A level is never cut: its edges
+are counted whole, and one that breaks the edge limit is an error before anything is
+answered from it.  ``bounded=False`` answers whole requests of any size: without the
+node and edge limits, and over edges whose ends have no symbol (its columns are null).
 """
 
 from __future__ import annotations
@@ -24,17 +25,19 @@ from ..plans.lineage import cut
 
 #: Fixed value: the order in which a trace looks at kinds.
 KINDS = ("calls", "references", "imports", "extends", "implements", "contains")
+#: Fixed value: the rows (an id and a number each) of a frontier that is broadcast.
+BROADCAST_ROWS = 100_000
 EVIDENCE = ("provenance", "confidence", "explanation", "evidence_file", "evidence_line", "evidence_site")
 
 
-def find_symbols(symbols: DataFrame, query: str, name_only: bool = False) -> DataFrame:
-    """Symbols by id, name or qualified name, in order of qualified name and file; more than the node limit is an error."""
+def find_symbols(symbols: DataFrame, query: str, name_only: bool = False, bounded: bool = True) -> DataFrame:
+    """Symbols by id, name or qualified name, in order of qualified name and file; where bounded, more than the node limit is an error."""
     budget.identifier(query)
     match = F.col("name") == query
     if not name_only:
         match = match | (F.col("id") == query) | (F.col("qualified_name") == query)
     found = symbols.where(match)
-    if found.limit(budget.MAX_NODES + 1).count() > budget.MAX_NODES:
+    if bounded and found.limit(budget.MAX_NODES + 1).count() > budget.MAX_NODES:
         raise budget.BudgetError(f"symbol lookup exceeded the {budget.MAX_NODES}-item work limit")
     return found.orderBy("qualified_name", "file", "id")
 
@@ -65,32 +68,30 @@ def named(symbols: DataFrame, relationships: DataFrame, symbol: str, kind: str,
     return related(symbols, relationships, origins, incoming, kind).orderBy("origin_order", *_edge_order()).limit(limit).drop("origin_order")
 
 
-def impact(symbols: DataFrame, relationships: DataFrame, symbol: str, file: str | None = None, max_depth: int = 2) -> DataFrame:
+def impact(symbols: DataFrame, relationships: DataFrame, symbol: str, file: str | None = None, max_depth: int = 2, bounded: bool = True) -> DataFrame:
     """Everything that calls the symbol, over up to ``max_depth`` calls: (depth, origin_id, symbol, evidence, disc), roots left out; the first discovery counts."""
     budget.depth(max_depth)
-    order = Window.orderBy("qualified_name", "file", "id")
-    roots = find_symbols(symbols, symbol).where(in_file(F.col("file"), file))
-    frontier = cut(roots.select("id", F.row_number().over(order).cast("long").alias("disc")))  # bounded by the lookup
-    visited, out, examined, found = frontier.select("id"), None, 0, 0
-    start = frontier.count()
+    roots = find_symbols(symbols, symbol, bounded=bounded).where(in_file(F.col("file"), file))
+    frontier, size = _numbered(roots.select("qualified_name", "file", "id"), [F.asc("qualified_name"), F.asc("file"), F.asc("id")], 0)
+    visited, out, examined, found, start = frontier.select("id"), None, 0, 0, size
     edges = _edges(relationships, ["calls"], incoming=True)
     for depth in range(1, max_depth + 1):
-        if not start:
+        if not size:
             break
-        near, n_edges = _near(symbols, edges, frontier)
+        near, n_edges = _near(symbols, edges, frontier, size, bounded)
         examined += n_edges
-        if examined > budget.MAX_EDGES:
+        if bounded and examined > budget.MAX_EDGES:
             raise budget.BudgetError(f"impact traversal exceeded the {budget.MAX_EDGES}-edge work limit")
-        step, n_new = _first(near, visited, start)
-        found += n_new
-        if found > budget.MAX_NODES:
+        step, size = _first(near, visited, start)
+        found += size
+        if bounded and found > budget.MAX_NODES:
             raise budget.BudgetError(f"impact traversal exceeded the {budget.MAX_NODES}-node work limit")
         step = step.withColumn("depth", F.lit(depth))
         out = step if out is None else out.union(step)
         frontier, visited = step.select("id", "disc"), visited.union(step.select("id"))
-        start = start + n_new if n_new else 0
+        start += size
     if out is None:
-        out = _first(_near(symbols, edges, frontier)[0], visited, 0)[0].withColumn("depth", F.lit(0))
+        out = _first(_near(symbols, edges, frontier, size, bounded)[0], visited, 0)[0].withColumn("depth", F.lit(0))
     return out.orderBy("disc")
 
 
@@ -107,25 +108,35 @@ def _edges(relationships: DataFrame, kinds: list[str], incoming: bool) -> DataFr
     return edges.withColumn("kind_rank", _rank(kinds))
 
 
-def _near(symbols: DataFrame, edges: DataFrame, frontier: DataFrame) -> tuple[DataFrame, int]:
-    """The edges next to the frontier, with the symbols at their other ends, all of them; and how many, or one more than the edge limit.
-
-    The frontier has at most ``MAX_NODES`` rows, which its maker has checked.
-    """
-    at = edges.join(F.broadcast(frontier.select(F.col("id").alias("origin_id"), F.col("disc").alias("origin_disc"))), "origin_id")
-    near = at.join(symbols, "id")
-    some = cut(near.limit(budget.MAX_EDGES + 1))
+def _near(symbols: DataFrame, edges: DataFrame, frontier: DataFrame, size: int, bounded: bool) -> tuple[DataFrame, int]:
+    """The edges next to the frontier of ``size`` rows, with the symbols at their other ends, all of them; and how many, or, where bounded, one more than the edge limit."""
+    at = frontier.select(F.col("id").alias("origin_id"), F.col("disc").alias("origin_disc"))
+    at = edges.join(F.broadcast(at) if size <= BROADCAST_ROWS else at, "origin_id")
+    near = at.join(symbols, "id", "inner" if bounded else "left")
+    some = cut(near.limit(budget.MAX_EDGES + 1) if bounded else near)
     n = some.count()
-    return (some if n <= budget.MAX_EDGES else near), n
+    return (near if bounded and n > budget.MAX_EDGES else some), n
+
+
+def _numbered(rows: DataFrame, order: list[Column], start: int) -> tuple[DataFrame, int]:
+    """The rows with ``disc``, their number in order, on from ``start``; and how many.  They are sorted by ranges, not in one task."""
+    ordered = cut(rows.orderBy(*order)).withColumn("__at", F.monotonically_increasing_id())
+    part = F.shiftright("__at", 33).cast("int")
+    sizes = {r["part"]: r["count"] for r in ordered.groupBy(part.alias("part")).count().collect()}  # one row per partition
+    before = [start]
+    for k in range(max(sizes, default=0)):
+        before.append(before[-1] + sizes.get(k, 0))
+    disc = F.element_at(F.array(*(F.lit(b).cast("long") for b in before)), part + 1) + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return ordered.withColumn("disc", disc).drop("__at"), sum(sizes.values())
 
 
 def _first(near: DataFrame, visited: DataFrame, start: int) -> tuple[DataFrame, int]:
-    """New symbols, each by its first discovery, numbered on from ``start``, and how many; ``near`` is within the edge limit."""
+    """New symbols, each by its first discovery, numbered on from ``start``, and how many."""
     order = [F.asc("origin_disc"), F.asc("kind_rank"), *_edge_order()]
-    fresh = near.join(visited, "id", "left_anti")
+    seen = visited.select(F.col("id").alias("seen_id"))
+    fresh = near.join(seen, F.col("id").eqNullSafe(F.col("seen_id")), "left_anti")
     first = fresh.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where("nth = 1").drop("nth")
-    first = cut(first.withColumn("disc", F.row_number().over(Window.orderBy(*order)) + F.lit(start).cast("long")))
-    return first, first.count()
+    return _numbered(first, order, start)
 
 
 @dataclass
@@ -152,11 +163,11 @@ def trace(symbols: DataFrame, relationships: DataFrame, source: str, target: str
         return Trace("found", examined_nodes=1)
     spark = symbols.sparkSession
     frontier = spark.createDataFrame([(origin, 1)], "id string, disc long")
-    visited, steps, nodes, edges = frontier.select("id"), [], 1, 0
+    visited, steps, nodes, edges, size = frontier.select("id"), [], 1, 0, 1
     every = _edges(relationships, list(KINDS), incoming=False)
     order = [F.asc("origin_disc"), F.asc("kind_rank"), *_edge_order()]
     for _ in range(max_depth):
-        near, n_edges = _near(symbols, every, frontier)
+        near, n_edges = _near(symbols, every, frontier, size, True)
         hit = near.where(F.col("id") == goal).orderBy(*order).first()
         if hit:
             # The search stops at the hit: later edge groups of this level are not examined.
@@ -165,7 +176,7 @@ def trace(symbols: DataFrame, relationships: DataFrame, source: str, target: str
             n_edges = near.count()
         if edges + n_edges > budget.MAX_EDGES:
             raise budget.BudgetError("path trace exceeded its work limit")
-        step, n_new = _first(near, visited, nodes)
+        step, size = _first(near, visited, nodes)
         if hit:
             hit = step.where(F.col("id") == goal).first()
             path, row = [hit], hit
@@ -174,10 +185,10 @@ def trace(symbols: DataFrame, relationships: DataFrame, source: str, target: str
                 path.append(row)
             return Trace("found", path[::-1], hit["disc"], edges + n_edges)
         steps.append(step)
-        nodes, edges = nodes + n_new, edges + n_edges
+        nodes, edges = nodes + size, edges + n_edges
         if nodes > budget.MAX_NODES:
             raise budget.BudgetError("path trace exceeded its work limit")
-        if not n_new:
+        if not size:
             break
         frontier, visited = step.select("id", "disc"), visited.union(step.select("id"))
     return Trace("no_path", examined_nodes=nodes, examined_edges=edges, guidance=f"no directed relationship path was found within depth {max_depth}")

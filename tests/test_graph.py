@@ -127,3 +127,50 @@ def test_trace_gives_no_path_of_a_cut_level(spark, monkeypatch):
     for target in ("h0", "h4", "h7"):
         with pytest.raises(budget.BudgetError):
             graph.trace(s, e, "a", target)
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 3])
+def test_unbounded_impact_is_whole(spark, monkeypatch, broadcast):
+    """More nodes, edges and roots than the limits, ends without a symbol or an id, a frontier that is broadcast or shuffled."""
+    names, rows = random_graph(1)
+    rows = sorted({(a, b, "calls", c, line) for a, b, _, c, line in rows})
+    root = rows[0][1]
+    s, e = symbols(spark, names).cache(), edges(spark, rows).cache()
+    monkeypatch.setattr(budget, "MAX_EDGES", 4)
+    monkeypatch.setattr(budget, "MAX_NODES", 4)
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", broadcast)
+    want = plain_impact(rows, root, 3)
+    assert len(want) > 4
+    with pytest.raises(budget.BudgetError):
+        graph.impact(s, e, root, max_depth=3)
+    found = graph.impact(s, e, root, max_depth=3, bounded=False).collect()
+    assert [(r.depth, r.origin_id[3:], r.id[3:]) for r in found] == want
+    assert [r.disc for r in found] == list(range(2, len(want) + 2))
+    nowhere = edges(spark, [("gone", root, "calls", 1, 1), ("further", "gone", "calls", 1, 1)]).union(edges(spark, [("x", root, "calls", 1, 2), ("x", "gone", "calls", 1, 2)]).withColumn("source_id", graph.F.lit(None).cast("string")))
+    got = graph.impact(s, nowhere, root, max_depth=3, bounded=False).collect()
+    assert sorted((r.depth, r.id or "") for r in got) == [(1, ""), (1, "id_gone"), (2, "id_further")]
+    same = s.selectExpr("id", "language", "kind", "'one' AS name", "qualified_name", "file", "start_byte", "end_byte", "start_line", "end_line")
+    assert {r.id for r in graph.impact(same, edges(spark, [("new", n, "calls", 1, 1) for n in names]), "one", bounded=False).collect()} == {"id_new"}
+
+
+def test_impact_query_equals_sql_beyond_the_node_limit(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from loomgraph.plans import catalog
+
+    con = duckdb.connect()
+    tables = {
+        "region": "SELECT 0 AS r_regionkey, 'R' AS r_name",
+        "nation": "SELECT 0 AS n_nationkey, 'N' AS n_name, 0 AS n_regionkey",
+        "customer": "SELECT range AS c_custkey, 'C' || range AS c_name, 0 AS c_nationkey FROM range(40)",
+        "supplier": "SELECT range AS s_suppkey, 'S' || range AS s_name, 0 AS s_nationkey FROM range(20)",
+        "part": "SELECT range AS p_partkey, 'red widget' AS p_name, 'Brand#' || (17 + range % 2) AS p_brand, 'T' AS p_type FROM range(30)",
+        "orders": "SELECT range AS o_orderkey, range % 37 AS o_custkey FROM range(100)",
+        "lineitem": "SELECT range % 110 AS l_orderkey, range % 30 AS l_partkey, 10 + range % 7 AS l_suppkey, 1 AS l_linenumber, 0.1::DOUBLE AS l_discount FROM range(400)",
+    }
+    for name, sql in tables.items():
+        con.execute(f"copy ({sql}) to '{tmp_path}/{name}.parquet' (format parquet)")
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    monkeypatch.setattr(budget, "MAX_NODES", 10)
+    got = sorted(tuple(r) for r in catalog.QUERIES["impact"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(catalog.SQL["impact"]).fetchall()) and len(got) > 40
