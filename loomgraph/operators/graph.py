@@ -158,7 +158,12 @@ def trace(symbols: DataFrame, relationships: DataFrame, source: str, target: str
     status = "source_not_found" if a == 0 else "target_not_found" if b == 0 else None if a == b == 1 else "ambiguous_target" if a == 1 else "ambiguous_source" if b == 1 else "ambiguous_endpoints"
     if status:
         return Trace(status, guidance=status.replace("_", " ") + "; give a file or an id" * status.startswith("ambiguous"))
-    origin, goal = ends[0][0]["id"], ends[1][0]["id"]
+    return path(symbols, relationships, ends[0][0]["id"], ends[1][0]["id"], max_depth)
+
+
+def path(symbols: DataFrame, relationships: DataFrame, origin: str, goal: str, max_depth: int = 6, bounded: bool = True) -> Trace:
+    """``trace`` between two ids, which are taken as they are."""
+    budget.depth(max_depth)
     if origin == goal:
         return Trace("found", examined_nodes=1)
     spark = symbols.sparkSession
@@ -167,26 +172,26 @@ def trace(symbols: DataFrame, relationships: DataFrame, source: str, target: str
     every = _edges(relationships, list(KINDS), incoming=False)
     order = [F.asc("origin_disc"), F.asc("kind_rank"), *_edge_order()]
     for _ in range(max_depth):
-        near, n_edges = _near(symbols, every, frontier, size, True)
+        near, n_edges = _near(symbols, every, frontier, size, bounded)
         hit = near.where(F.col("id") == goal).orderBy(*order).first()
         if hit:
             # The search stops at the hit: later edge groups of this level are not examined.
             at = (F.col("origin_disc") < hit["origin_disc"]) | ((F.col("origin_disc") == hit["origin_disc"]) & (F.col("kind_rank") <= hit["kind_rank"]))
             near = near.where(at)
             n_edges = near.count()
-        if edges + n_edges > budget.MAX_EDGES:
+        if bounded and edges + n_edges > budget.MAX_EDGES:
             raise budget.BudgetError("path trace exceeded its work limit")
         step, size = _first(near, visited, nodes)
         if hit:
             hit = step.where(F.col("id") == goal).first()
-            path, row = [hit], hit
+            steps_back, row = [hit], hit
             for level in reversed(steps):
                 row = level.where(F.col("id") == row["origin_id"]).first()
-                path.append(row)
-            return Trace("found", path[::-1], hit["disc"], edges + n_edges)
+                steps_back.append(row)
+            return Trace("found", steps_back[::-1], hit["disc"], edges + n_edges)
         steps.append(step)
         nodes, edges = nodes + size, edges + n_edges
-        if nodes > budget.MAX_NODES:
+        if bounded and nodes > budget.MAX_NODES:
             raise budget.BudgetError("path trace exceeded its work limit")
         if not size:
             break

@@ -174,3 +174,29 @@ def test_impact_query_equals_sql_beyond_the_node_limit(spark, tmp_path, monkeypa
     monkeypatch.setattr(budget, "MAX_NODES", 10)
     got = sorted(tuple(r) for r in catalog.QUERIES["impact"](spark, str(tmp_path)).collect())
     assert got == sorted(con.execute(catalog.SQL["impact"]).fetchall()) and len(got) > 40
+
+
+#: Customer 5 calls order 1, which calls part 2, which references a supplier: number 7, another one, or one beyond a part that has no row.
+@pytest.mark.parametrize("supplier, parts, steps", [(7, 3, 3), (8, 3, None), (7, 1, 3)])
+def test_trace_query_equals_sql(spark, tmp_path, monkeypatch, supplier, parts, steps):
+    import duckdb
+
+    from loomgraph.plans import catalog
+
+    con = duckdb.connect()
+    tables = {
+        "region": "SELECT 0 AS r_regionkey, 'R' AS r_name",
+        "nation": "SELECT 0 AS n_nationkey, 'N' AS n_name, 0 AS n_regionkey",
+        "customer": "SELECT range AS c_custkey, 'C' || range AS c_name, 0 AS c_nationkey FROM range(9)",
+        "supplier": "SELECT range AS s_suppkey, 'S' || range AS s_name, 0 AS s_nationkey FROM range(9)",
+        "part": f"SELECT range AS p_partkey, 'red widget' AS p_name, 'Brand#1' AS p_brand, 'T' AS p_type FROM range({parts})",
+        "orders": "SELECT range AS o_orderkey, 5 AS o_custkey FROM range(9)",
+        "lineitem": f"SELECT 1 AS l_orderkey, 2 AS l_partkey, {supplier} AS l_suppkey, range AS l_linenumber, 0.1::DOUBLE AS l_discount FROM range(4)",
+    }
+    for name, sql in tables.items():
+        con.execute(f"copy ({sql}) to '{tmp_path}/{name}.parquet' (format parquet)")
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    monkeypatch.setattr(budget, "MAX_NODES", 3)
+    monkeypatch.setattr(budget, "MAX_EDGES", 3)
+    got = [tuple(r) for r in catalog.QUERIES["trace_path"](spark, str(tmp_path)).collect()]
+    assert got == con.execute(catalog.SQL["trace_path"]).fetchall() == [("found", steps, "c_5", "s_7")]
